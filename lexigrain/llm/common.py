@@ -194,3 +194,34 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     res = stage(out.union(roots), name)
     discard(cur)
     return res
+
+
+# --------------------------------------------------------------------- bounded sieve of ids
+#: Bits of a sieve: its size is fixed (8 MB), so it may be broadcast at any scale.
+SIEVE_LOG = 26
+_WORD = 1 << 15
+
+
+def sieve_slot(*cols: str) -> "F.Column":
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << SIEVE_LOG))
+
+
+class Sieve:
+    """A fixed-size bitmap of hashed ids: never misses an id that was put in, and passes few others.
+
+    A sieve only saves work; an exact join on the ids always follows.
+    """
+
+    def __init__(self, ids: DataFrame, col: str) -> None:
+        slot = ids.select((sieve_slot(col) + 1).alias("s"))  # bit positions count from 1
+        maps = slot.groupBy(F.bitmap_bucket_number("s").alias("w")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+        bits = np.zeros((1 << SIEVE_LOG) // 8, np.uint8)
+        for r in maps.toLocalIterator():  # at most 2**SIEVE_LOG / 2**15 rows of 4 KB
+            at = (r.w - 1) * _WORD // 8
+            got = np.frombuffer(bytes(r.bits), np.uint8)
+            bits[at : at + len(got)] = got
+        self.held = ids.sparkSession.sparkContext.broadcast(bits)
+
+    def passes(self, slots: np.ndarray) -> np.ndarray:
+        """Which of the slots, as :func:`sieve_slot` computes them, are in the bitmap."""
+        return (self.held.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, packing, quality, records
+from . import common, langid, near_dedup, packing, quality, records, topk
 
 #: Share of label 1 from which a document counts as good.
 QUALITY_CUT = 0.3
@@ -16,11 +16,19 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs)).select("doc_id", (common.fold() == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -37,4 +45,4 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digests(records.read(manifest))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_best_fit_packing, op6_quality_gam, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_language_id, op4_exact_topk, op5_best_fit_packing, op6_quality_gam, op10_token_records)}

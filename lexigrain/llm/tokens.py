@@ -20,7 +20,7 @@ _UNUSUAL = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]|
 #: Pieces for pre-tokenizers that keep one leading blank with the word.
 _LEADING = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
 #: Remembered pieces before the memory is emptied.
-_MEMORY = 400_000
+_MEMORY = 1_200_000
 
 
 class Encoder:
