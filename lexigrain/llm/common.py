@@ -202,8 +202,13 @@ SIEVE_LOG = 26
 _WORD = 1 << 15
 
 
-def sieve_slot(*cols: str) -> "F.Column":
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << SIEVE_LOG))
+def sieve_slot(col: "str | F.Column") -> "F.Column":
+    return F.pmod(F.xxhash64(col), F.lit(1 << SIEVE_LOG))
+
+
+def key_slot(col: "str | F.Column") -> "F.Column":
+    """The slot of a value that is a hash already."""
+    return F.pmod(F.col(col) if isinstance(col, str) else col, F.lit(1 << SIEVE_LOG))
 
 
 class Sieve:
@@ -212,9 +217,9 @@ class Sieve:
     A sieve only saves work; an exact join on the ids always follows.
     """
 
-    def __init__(self, ids: DataFrame, col: str) -> None:
-        slot = ids.select((sieve_slot(col) + 1).alias("s"))  # bit positions count from 1
-        maps = slot.groupBy(F.bitmap_bucket_number("s").alias("w")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    def __init__(self, ids: DataFrame, slot: "F.Column") -> None:
+        slots = ids.select((slot + 1).alias("s"))  # bit positions count from 1
+        maps = slots.groupBy(F.bitmap_bucket_number("s").alias("w")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
         bits = np.zeros((1 << SIEVE_LOG) // 8, np.uint8)
         for r in maps.toLocalIterator():  # at most 2**SIEVE_LOG / 2**15 rows of 4 KB
             at = (r.w - 1) * _WORD // 8

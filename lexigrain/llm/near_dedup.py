@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """``rep, n, items`` for the ids asked for; only their texts are hashed again, and no text is shuffled."""
-    sieve = common.Sieve(ids, "rep")
+    sieve = common.Sieve(ids, common.sieve_slot("rep"))
 
     def run(batches):
         for b in batches:
@@ -103,40 +103,63 @@ def link(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, bands: int
     known = signed.where("n > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     buckets = known.join(classes, ["digest"]).where("doc_id = rep").select(F.explode("bands").alias("h"), "rep")
-    shared = buckets.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    members = common.stage(buckets.join(shared.select("h"), "h", "left_semi").distinct(), "members")
     # Rows that share an id but not a text are one document: their classes hang together.
-    links = common.stage(classes.join(known.select("digest", "doc_id"), "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b"), "links")
+    twice = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    given = known.join(twice, "doc_id", "left_semi").join(classes, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    return signed, classes, connect(buckets, lambda ids: _sets(base, ids, k), num, den, given)
+
+
+def connect(buckets: DataFrame, sets_of, num: int, den: int, given: DataFrame | None = None) -> DataFrame:
+    """Components ``(id, comp)`` over candidates that share a bucket ``(h, rep)`` and pass the exact test.
+
+    ``sets_of(ids)`` gives ``rep, n, items`` for a frame of ``rep``; ``given`` are links ``(a, b)`` known
+    beforehand.  Members that share many candidates are compared first: the text that a group was
+    copied from agrees with more of the group than the copies do with each other.
+    """
+    shared = buckets.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    met = common.stage(buckets.join(shared.select("h", "size"), "h").distinct(), "met")
+    ties = met.groupBy("rep").agg(F.sum("size").alias("ties"))
+    members = common.stage(met.select("h", "rep").join(ties, "rep"), "members")
+    common.discard(met)
     largest = members.groupBy("h").count().agg(F.max("count")).first()[0] or 0
-    sets = common.stage(_sets(base, members.select("rep").distinct(), k), "sets") if largest else None
-    comps, tested = common.components(links), None
-    done, width = 0, 1
+    spark = buckets.sparkSession
+    links = given if given is not None else spark.createDataFrame([], "a bigint, b bigint")
+    comps = common.components(links)
+    if not largest:
+        common.discard(members)
+        return comps
+    sets, tested = common.stage(sets_of(members.select("rep").distinct()), "sets"), None
+    done, width, used = 0, 1, []
     while done < largest:
-        m = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", F.coalesce("comp", "rep").alias("c"))
+        m = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", "ties", F.coalesce("comp", "rep").alias("c"))
         # A bucket may be left when its members have one component.
         live = m.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
         m = m.join(live, "h", "left_semi")
-        rank = F.row_number().over(Window.partitionBy("h").orderBy("rep"))
+        rank = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("ties"), "rep"))
         pivots = m.withColumn("rn", rank).where(F.col("rn") <= done + width).where(F.col("rn") > done).select("h", F.col("rep").alias("p"), F.col("c").alias("pc"))
         pairs = pivots.join(m, "h").where("p <> rep and pc <> c").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.stage(pairs, "pairs")
+        used.append(pairs)
         if pairs.isEmpty():
-            common.discard(pairs)
+            if done and live.isEmpty():
+                break
         else:
             left, right = (sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"i{x}")) for x in "ab")
             both = F.size(F.array_intersect("ia", "ib"))
             sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b")
             new = sized.join(left, "a").join(right, "b").withColumn("i", both).where(F.col("i") * den >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
             new = common.stage(new, "links")
+            used.append(new)
             tested = pairs if tested is None else tested.unionByName(pairs)
             if not new.isEmpty():
                 links = links.unionByName(new)
                 old, comps = comps, common.components(links)
                 common.discard(old)
         done, width = done + width, width * 4
-    return signed, classes, comps
+    common.discard(members, sets, *used)
+    return comps
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4) -> DataFrame:

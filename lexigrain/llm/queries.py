@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, near_dedup, packing, quality, records, topk
+from . import common, decontaminate, langid, line_dedup, near_dedup, packing, quality, records, topk
 
 #: Share of label 1 from which a document counts as good.
 QUALITY_CUT = 0.3
@@ -20,6 +20,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(_read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs)).select("doc_id", (common.fold() == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
@@ -39,10 +43,14 @@ def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.fold() == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     manifest = records.write(docs, public_tokenizers.path("word_bpe_49k.json"), common.new_dir(spark, "records"))
     return records.digests(records.read(manifest))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_language_id, op4_exact_topk, op5_best_fit_packing, op6_quality_gam, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_language_id, op4_exact_topk, op5_best_fit_packing, op6_quality_gam, op9_decontamination, op10_token_records)}
