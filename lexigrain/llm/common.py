@@ -25,7 +25,7 @@ from ..session import ship
 #: Rows and bytes that one Arrow batch may hold on its way to Python.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U64 = np.uint64
 
 
@@ -117,7 +117,7 @@ def _arrow_type(t: str) -> pa.DataType:
 # --------------------------------------------------------------------- words and hashes
 def words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text as UTF-8, with A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
 class _WordHashes(dict):

@@ -189,3 +189,18 @@ def apply(docs: DataFrame, model: dict) -> DataFrame:
             yield {"doc_id": b["doc_id"], "score": score(held.value, x)}
 
     return common.in_arrow(common.texts(docs), run, "doc_id bigint, score double")
+
+
+def keep(docs: DataFrame, model: dict, cut: float) -> DataFrame:
+    """The rows, all columns kept, whose score is at least ``cut``; one pass, no shuffle."""
+    import pyarrow as pa
+
+    spark = common.tune(docs.sparkSession)
+    held = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            x = np.array([features(t) for t in b.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(score(held.value, x) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, line_dedup, near_dedup, packing, quality, records, topk
+from . import common, decontaminate, langid, line_dedup, near_dedup, packing, ppm, quality, records, suffixes, topk
 
 #: Share of label 1 from which a document counts as good.
 QUALITY_CUT = 0.3
@@ -43,6 +43,14 @@ def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.fold() == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
+def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_read(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(_read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -53,4 +61,4 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digests(records.read(manifest))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_language_id, op4_exact_topk, op5_best_fit_packing, op6_quality_gam, op9_decontamination, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_language_id, op4_exact_topk, op5_best_fit_packing, op6_quality_gam, op7_ppm_scores, op8_suffix_dedup, op9_decontamination, op10_token_records)}
