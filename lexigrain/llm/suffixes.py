@@ -56,18 +56,32 @@ def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
 
 
 def sort_suffixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes ``data[starts:ends]`` (each at most ``depth`` bytes deep) and their common prefixes."""
-    width = -(-depth // 8) * 8
-    offs = np.arange(width)
-    at = starts[:, None] + offs
-    inside = at < ends[:, None]
-    # Bytes shift up by one so that an end sorts first and equals nothing: kept apart by `inside`.
-    m = np.where(inside, data[np.minimum(at, len(data) - 1)], 0)
-    words = m.astype(np.uint8).reshape(len(starts), width // 8, 8).view(">u8")[:, :, 0].astype(np.uint64)
-    order = np.lexsort([ends - starts, *words.T[::-1]])
-    m, inside = m[order], inside[order]
-    differ = (m[1:] != m[:-1]) | ~inside[1:] | ~inside[:-1]
-    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    """Order of the suffixes ``data[starts:ends]`` (each at most ``depth`` bytes deep) and their common prefixes.
+
+    Suffixes are compared eight bytes at a time, as big-endian numbers filled up with zeros; a
+    shorter one sorts before a longer one that it begins.
+    """
+    size = (ends - starts).astype(np.int32)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.empty((-(-depth // 8), len(starts)), np.uint64)
+    for w in range(len(words)):
+        at = np.minimum(starts + 8 * w, len(data)).astype(np.int32)
+        value = np.zeros(len(starts), np.uint64)
+        for j in range(8):
+            byte = np.where(8 * w + j < size, padded[np.minimum(at + j, len(data))], 0)
+            value = value << np.uint64(8) | byte.astype(np.uint64)
+        words[w] = value
+    order = np.lexsort([size, *words[::-1]])
+    size = size[order]
+    lcp = np.minimum(size[1:], size[:-1])
+    for w in range(len(words) - 1, -1, -1):  # the first word that differs has the last say
+        v = words[w][order]
+        x = v[1:] ^ v[:-1]
+        differ = np.flatnonzero(x)
+        # Whole bytes above the highest set bit.
+        high = np.frexp((x[differ] >> np.uint64(11)).astype(np.float64))[1] + 11
+        high = np.where(x[differ] >> np.uint64(11) == 0, np.frexp(x[differ].astype(np.float64))[1], high)
+        lcp[differ] = np.minimum(8 * w + (64 - high) // 8, np.minimum(size[1:], size[:-1])[differ])
     return order, lcp
 
 
@@ -252,7 +266,7 @@ def duplicated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, Data
 
         for b in batches:
             for row in zip(b["key"].to_pylist(), b["frag"].to_pylist(), b["low"].to_pylist()):
-                if size > 200_000 and row[0] != held[-1][0]:
+                if size > 60_000 and row[0] != held[-1][0]:
                     yield out(held)
                     held, size = [], 0
                 held.append(row)
