@@ -154,8 +154,9 @@ def connect(buckets: DataFrame, sets_of, num: int, den: int, given: DataFrame |
             used.append(new)
             tested = pairs if tested is None else tested.unionByName(pairs)
             if not new.isEmpty():
-                links = links.unionByName(new)
-                old, comps = comps, common.components(links)
+                # A component is known by one link a member: earlier links need not be walked again.
+                known = comps.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
+                old, comps = comps, common.components(known.unionByName(new))
                 common.discard(old)
         done, width = done + width, width * 4
     common.discard(members, sets, *used)
