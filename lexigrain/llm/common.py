@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 #: Rows and bytes that one Arrow batch may hold on its way to Python.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U64 = np.uint64

@@ -85,6 +85,21 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth:
     return order, lcp
 
 
+def sort_windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like :func:`sort_suffixes` to the depth ``length``, which every suffix has; prefixes below it count as 0."""
+    eight = np.zeros(max(len(data) - 7, 0), np.uint64)
+    for j in range(8):
+        eight = eight << np.uint64(8) | data[j : j + len(eight)]
+    offsets = sorted({*range(0, length - 7, 8), length - 8})  # the last word may overlap the one before
+    words = [eight[starts + o] for o in offsets]
+    order = np.lexsort(words[::-1])
+    same = np.ones(max(len(starts) - 1, 0), bool)
+    for w in words:
+        v = w[order]
+        same &= v[1:] == v[:-1]
+    return order, np.where(same, length, 0)
+
+
 def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """``(length, [(text, start), ...])`` of all maximal repeats of at least ``least`` bytes, in memory."""
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -160,11 +175,11 @@ def _smallest(rows: list[tuple[int, bytes, int]], length: int) -> Iterator[tuple
     count = size - length + 1
     of = np.repeat(np.arange(len(rows)), count)
     starts = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of]
-    order, lcp = sort_suffixes(data, starts, (first + size)[of], int(size.max()))
+    order, lcp = sort_windows(data, starts, length)
     low = ids[of]
     # A node at or below `length` bytes deep whose parent is shallower holds all equal windows.
     sorted_ids = low[order]
-    for _, a, b in intervals(np.minimum(lcp, length), length):
+    for _, a, b in intervals(lcp, length):
         low[order[a : b + 1]] = sorted_ids[a : b + 1].min()
     at = 0
     for (key, f, _), n in zip(rows, count.tolist()):
