@@ -45,7 +45,7 @@ w AS (SELECT *, len(regexp_extract_all(word, '[aeiouy]+')) AS g FROM ({WORDS})),
 y AS (SELECT *, {SYL} AS y FROM w),
 per AS (SELECT doc_id, count(*) AS w, sum(y) AS y, sum(least(20, length(word))) AS l, sum((y >= 3)::INT) AS poly, sum((pos < 150 AND y = 1)::INT) AS mono, sum((length(word) >= 7)::INT) AS longw FROM y GROUP BY doc_id),
 s AS (SELECT doc_id, len(regexp_extract_all(text, '[^.!?]*[\\p{{L}}\\p{{N}}][^.!?]*')) AS s FROM documents),
-c AS (SELECT * FROM per JOIN s USING (doc_id) WHERE w > 0 AND s > 0)"""
+c AS (SELECT doc_id, w::DOUBLE AS w, y::DOUBLE AS y, l::DOUBLE AS l, poly::DOUBLE AS poly, mono::DOUBLE AS mono, longw::DOUBLE AS longw, s::DOUBLE AS s FROM per JOIN s USING (doc_id) WHERE w > 0 AND s > 0)"""
 _IF = "CASE WHEN w >= 100 AND s >= 5 THEN round({0}, 3) END"
 READ = {
     "flesch": "206.835 - 1.015 * w / s - 84.6 * y / w", "fkgl": "0.39 * w / s + 11.8 * y / w - 15.59", "fog": "0.4 * (w / s + 100.0 * poly / w)",
@@ -54,7 +54,7 @@ READ = {
 
 
 @query(
-    f"WITH {COUNTS} SELECT doc_id, w AS words, CAST(s AS BIGINT) AS sentences, " + ", ".join(f"{_IF.format(v)} AS {k}" for k, v in READ.items())
+    f"WITH {COUNTS} SELECT doc_id, CAST(w AS BIGINT) AS words, CAST(s AS BIGINT) AS sentences, " + ", ".join(f"{_IF.format(v)} AS {k}" for k, v in READ.items())
     + ", CASE WHEN w >= 100 AND s >= 30 THEN round(1.043 * sqrt(30.0 * poly / s) + 3.1291, 3) END AS smog, CASE WHEN w >= 150 AND s >= 5 THEN round(20 - mono / 10, 3) END AS forcast FROM c"
 )
 def readability_by_doc(spark, d):
