@@ -7,11 +7,10 @@ into bands; documents that agree in a band are candidates; a candidate pair beco
 if its full shingle sets satisfy ``den * |A & B| >= num * |A | B|``.
 
 Copies collapse first: documents with equal shingle sets are one class, represented by the
-smallest id.  Within a bucket not all pairs are formed.  Round by round the 1, 4, 16, ... smallest
-members of each bucket are compared with those members that are not yet in the same component;
-a bucket whose members all lie in one component is finished, because further links in it could
-change nothing.  A bucket that stays divided is in the end compared completely, so no candidate
-link between components is lost.
+smallest id.  Within a bucket not all pairs are formed.  Every member is compared with the bucket's
+hub, the member that shares the most candidates.  Buckets whose members then lie in one component
+are finished, because further links in them could change nothing.  Members of the others go
+through an exact prefix filter over their full sets, which misses no link between components.
 
 With 32 bands of 4 rows a pair at similarity 0.8 escapes all buckets with probability 5e-8.
 
@@ -26,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -109,57 +108,89 @@ def link(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, bands: int
     return signed, classes, connect(buckets, lambda ids: _sets(base, ids, k), num, den, given)
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose full sets reach the similarity; sizes are compared before any set moves."""
+    left, right = (sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"i{x}")) for x in "ab")
+    sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b")
+    both = sized.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("ia", "ib")))
+    return both.where(F.col("i") * den >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+
+
+def _rest(members: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` that may still link two components, for members of buckets that stay divided.
+
+    An exact filter, so no bucket is compared pair by pair.  Items are put into one order: first those
+    that occur in a single component, then by rising frequency.  If two sets are similar enough, their
+    first common item stands near the beginning of both: what follows it must hold the overlap.  The
+    smaller set therefore offers a short prefix, the larger one a longer prefix for every class of
+    sizes its partner may have.  Under each key the rows of its most frequent component are not
+    compared with each other.
+    """
+    m = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", F.coalesce("comp", "rep").alias("c"))
+    live = m.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+    left = m.join(live, "h", "left_semi").select("rep", "c").distinct()
+    items = sets.join(left, "rep").select("rep", "c", "n", F.explode("items").alias("t"))
+    common_items = items.groupBy("t").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t", "f")
+    ordered = items.join(common_items, "t").groupBy("rep", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
+    placed = ordered.select("rep", "c", "n", F.expr("n - size(s)").alias("u"), F.posexplode("s").alias("e", "x")).select("rep", "c", "n", F.expr("n - u - e").alias("rest"), F.col("x.t").alias("t"))
+
+    def size_class(n: str) -> str:
+        return f"cast(floor(ln({n}) / ln(1.06)) as int)"
+
+    ahead = placed.where(f"rest * {den} >= {num} * n")
+    partner = f"least(n, floor(rest * {num + den} / {num}) - n)"
+    smaller = F.when(F.expr(f"rest * {num + den} >= {2 * num} * n"), F.array(F.struct(F.lit(True).alias("small"), F.expr(size_class("n")).alias("k"))))
+    larger = F.transform(F.expr(f"sequence({size_class(f'ceil({num} * n / {den})')}, greatest({size_class(partner)}, {size_class(f'ceil({num} * n / {den})')}))"), lambda k: F.struct(F.lit(False).alias("small"), k.alias("k")))
+    posts = ahead.withColumn("o", F.explode(F.concat(F.coalesce(smaller, F.expr("array()").cast("array<struct<small:boolean,k:int>>")), larger))).select("rep", "c", "n", "rest", "t", "o.small", "o.k")
+    posts = common.stage(posts, "posts")
+    per = posts.groupBy("t", "k", "c").agg(F.count("*").alias("f"), F.max("small").alias("any"), F.min("small").alias("all"))
+    tops = per.groupBy("t", "k").agg(F.max_by("c", "f").alias("top"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("any").alias("any"), F.min("all").alias("all")).where("lo < hi and any and not all")
+    rows = posts.join(tops.select("t", "k", "top"), ["t", "k"]).withColumn("top", F.col("c") == F.col("top"))
+    rows = common.stage(rows, "rows")
+    a = rows.where("small").select("t", "k", *(F.col(x).alias(f"{x}a") for x in ("rep", "c", "n", "rest", "top")))
+    b = rows.where("not small").select("t", "k", *(F.col(x).alias(f"{x}b") for x in ("rep", "c", "n", "rest", "top")))
+    fits = F.expr(f"na <= nb and ca <> cb and least(resta, restb) * {num + den} >= {num} * (na + nb)")
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.join(y, ["t", "k"]).where(fits).select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b"))
+
+    pairs = common.stage(meet(a.where("not topa"), b).union(meet(a.where("topa"), b.where("not topb"))).distinct(), "pairs")
+    common.discard(posts, rows)
+    return pairs
+
+
 def connect(buckets: DataFrame, sets_of, num: int, den: int, given: DataFrame | None = None) -> DataFrame:
     """Components ``(id, comp)`` over candidates that share a bucket ``(h, rep)`` and pass the exact test.
 
     ``sets_of(ids)`` gives ``rep, n, items`` for a frame of ``rep``; ``given`` are links ``(a, b)`` known
-    beforehand.  Members that share many candidates are compared first: the text that a group was
-    copied from agrees with more of the group than the copies do with each other.
+    beforehand.  First each bucket's members are compared with the one that shares the most candidates,
+    since the text that a group was copied from agrees with more of the group than the copies do
+    with each other; then :func:`_rest` finds what may link the components still apart.
     """
+    spark = buckets.sparkSession
     shared = buckets.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     met = common.stage(buckets.join(shared.select("h", "size"), "h").distinct(), "met")
-    ties = met.groupBy("rep").agg(F.sum("size").alias("ties"))
-    members = common.stage(met.select("h", "rep").join(ties, "rep"), "members")
-    common.discard(met)
-    largest = members.groupBy("h").count().agg(F.max("count")).first()[0] or 0
-    spark = buckets.sparkSession
     links = given if given is not None else spark.createDataFrame([], "a bigint, b bigint")
-    comps = common.components(links)
-    if not largest:
-        common.discard(members)
-        return comps
-    sets, tested = common.stage(sets_of(members.select("rep").distinct()), "sets"), None
-    done, width, used = 0, 1, []
-    while done < largest:
-        m = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", "ties", F.coalesce("comp", "rep").alias("c"))
-        # A bucket may be left when its members have one component.
-        live = m.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-        m = m.join(live, "h", "left_semi")
-        rank = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("ties"), "rep"))
-        pivots = m.withColumn("rn", rank).where(F.col("rn") <= done + width).where(F.col("rn") > done).select("h", F.col("rep").alias("p"), F.col("c").alias("pc"))
-        pairs = pivots.join(m, "h").where("p <> rep and pc <> c").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.stage(pairs, "pairs")
-        used.append(pairs)
-        if pairs.isEmpty():
-            if done and live.isEmpty():
-                break
-        else:
-            left, right = (sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"i{x}")) for x in "ab")
-            both = F.size(F.array_intersect("ia", "ib"))
-            sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b")
-            new = sized.join(left, "a").join(right, "b").withColumn("i", both).where(F.col("i") * den >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
-            new = common.stage(new, "links")
-            used.append(new)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            if not new.isEmpty():
-                # A component is known by one link a member: earlier links need not be walked again.
-                known = comps.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
-                old, comps = comps, common.components(known.unionByName(new))
-                common.discard(old)
-        done, width = done + width, width * 4
-    common.discard(members, sets, *used)
+    if met.isEmpty():
+        common.discard(met)
+        return common.components(links)
+    members = met.select("h", "rep")
+    ties = met.groupBy("rep").agg(F.sum("size").alias("ties"))
+    pivots = met.join(ties, "rep").groupBy("h").agg(F.max(F.struct("ties", (-F.col("rep")).alias("r"))).alias("p")).select("h", (-F.col("p.r")).alias("p"))
+    pairs = common.stage(members.join(pivots, "h").where("p <> rep").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct(), "pairs")
+    sets = common.stage(sets_of(members.select("rep").distinct()), "sets")
+    found = common.stage(links.select("a", "b").unionByName(_verified(pairs, sets, num, den)), "links")
+    first = common.components(found)
+    common.discard(pairs, found)
+    pairs = _rest(members, first, sets, num, den)
+    found = common.stage(_verified(pairs, sets, num, den), "links")
+    common.discard(pairs, sets, met)
+    if found.isEmpty():
+        common.discard(found)
+        return first
+    # A component is known by one link a member: earlier links need not be walked again.
+    comps = common.components(first.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(found))
+    common.discard(first, found)
     return comps
 
 
