@@ -142,8 +142,8 @@ def repeated_lines(docs: DataFrame, k: int = 8, num: int = 85, den: int = 100, b
     common.tune(docs.sparkSession)
     base = common.texts(docs).where("doc_id is not null")
     lines = common.stage(_lines(base, k, bands, rows), "lines")
-    buckets = lines.where("bands is not null").select(F.explode("bands").alias("h"), F.col("key").alias("rep"))
-    comps = near_dedup.connect(buckets, lambda ids: _sets(base, ids, k), num, den)
+    banded = lines.where("bands is not null").select(F.col("key").alias("rep"), "bands")
+    comps = near_dedup.connect(banded, lambda ids: _sets(base, ids, k), num, den)
     joined = lines.select("doc_id", "line", "key").join(comps.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("comp", "key"))
     first = joined.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))

@@ -101,11 +101,11 @@ def link(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, bands: int
     signed = common.stage(signatures(base, k, bands, rows), "signatures")
     known = signed.where("n > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    buckets = known.join(classes, ["digest"]).where("doc_id = rep").select(F.explode("bands").alias("h"), "rep")
+    banded = known.join(classes, ["digest"]).where("doc_id = rep").select("rep", "bands")
     # Rows that share an id but not a text are one document: their classes hang together.
     twice = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     given = known.join(twice, "doc_id", "left_semi").join(classes, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    return signed, classes, connect(buckets, lambda ids: _sets(base, ids, k), num, den, given)
+    return signed, classes, connect(banded, lambda ids: _sets(base, ids, k), num, den, given)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -159,17 +159,40 @@ def _rest(members: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den:
     return pairs
 
 
-def connect(buckets: DataFrame, sets_of, num: int, den: int, given: DataFrame | None = None) -> DataFrame:
-    """Components ``(id, comp)`` over candidates that share a bucket ``(h, rep)`` and pass the exact test.
+def _members(banded: DataFrame) -> DataFrame:
+    """``h, rep, size`` for buckets with several members.
+
+    Most buckets have one.  Keys move once, to find the others; those then pass a sieve of fixed size,
+    so that the rest never moves again.
+    """
+    keys = banded.select(F.explode("bands").alias("h"), "rep")
+    shared = keys.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    shared = common.stage(shared.select("h", "size"), "shared")
+    sieve = common.Sieve(shared, common.key_slot("h"))
+
+    def run(batches):
+        for b in batches:
+            h = b["bands"].flatten().to_numpy()
+            at = np.repeat(np.arange(len(b["rep"])), b["bands"].value_lengths().to_numpy(zero_copy_only=False))
+            ok = sieve.passes(np.mod(h, 1 << common.SIEVE_LOG))
+            yield {"h": h[ok], "rep": b["rep"].to_numpy()[at[ok]]}
+
+    few = common.in_arrow(banded.where("bands is not null").select("rep", "bands"), run, "h bigint, rep bigint")
+    met = common.stage(few.join(shared, "h").distinct(), "met")
+    common.discard(shared)
+    return met
+
+
+def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | None = None) -> DataFrame:
+    """Components ``(id, comp)`` over ``(rep, bands)`` that share a bucket key and pass the exact test.
 
     ``sets_of(ids)`` gives ``rep, n, items`` for a frame of ``rep``; ``given`` are links ``(a, b)`` known
     beforehand.  First each bucket's members are compared with the one that shares the most candidates,
     since the text that a group was copied from agrees with more of the group than the copies do
     with each other; then :func:`_rest` finds what may link the components still apart.
     """
-    spark = buckets.sparkSession
-    shared = buckets.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    met = common.stage(buckets.join(shared.select("h", "size"), "h").distinct(), "met")
+    spark = banded.sparkSession
+    met = _members(banded)
     links = given if given is not None else spark.createDataFrame([], "a bigint, b bigint")
     if met.isEmpty():
         common.discard(met)
