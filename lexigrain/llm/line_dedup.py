@@ -107,7 +107,13 @@ def _lines(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return common.in_arrow(docs, run, "doc_id bigint, line int, key bigint, bands array<bigint>")
 
 
+def _cut(forms: list[str], k: int) -> list[np.ndarray]:
+    """The sorted shingle sets of non-blank forms."""
+    return [np.unique(_ragged([f], k)[0]) for f in forms]
+
+
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``rep, n, items`` for the classes asked for: set sizes and forms, which are smaller than their sets."""
     sieve = common.Sieve(ids, common.key_slot("rep"))
 
     def run(batches):
@@ -120,18 +126,14 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                         forms[key] = f
             keys = np.fromiter(forms, np.int64, len(forms))
             ok = sieve.passes(np.mod(keys, 1 << common.SIEVE_LOG))
-            out = {"rep": [], "n": [], "items": []}
-            for key in keys[ok].tolist():
-                s = np.unique(_ragged([forms[key]], k)[0])
-                out["rep"].append(key)
-                out["n"].append(len(s))
-                out["items"].append(common.as_long(s))
-                met.add(key)
+            wanted = keys[ok].tolist()
+            found = [forms[key] for key in wanted]
+            met.update(wanted)
             if len(met) > 1_000_000:
                 met.clear()
-            yield out
+            yield {"rep": wanted, "n": list(map(len, _cut(found, k))), "items": found}
 
-    made = common.in_arrow(docs, run, "rep bigint, n bigint, items array<bigint>")
+    made = common.in_arrow(docs, run, "rep bigint, n bigint, items string")
     exact = made.join(ids, "rep", "left_semi")
     # Tasks may each have met a class; the set is the same.
     return exact.groupBy("rep").agg(F.first("n").alias("n"), F.first("items").alias("items"))
@@ -143,7 +145,7 @@ def repeated_lines(docs: DataFrame, k: int = 8, num: int = 85, den: int = 100, b
     base = common.texts(docs).where("doc_id is not null")
     lines = common.stage(_lines(base, k, bands, rows), "lines")
     banded = lines.where("bands is not null").select(F.col("key").alias("rep"), "bands")
-    comps = near_dedup.connect(banded, lambda ids: _sets(base, ids, k), num, den)
+    comps = near_dedup.connect(banded, lambda ids: _sets(base, ids, k), num, den, cut=lambda forms: _cut(forms, k))
     joined = lines.select("doc_id", "line", "key").join(comps.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("comp", "key"))
     first = joined.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))

@@ -8,9 +8,11 @@ if its full shingle sets satisfy ``den * |A & B| >= num * |A | B|``.
 
 Copies collapse first: documents with equal shingle sets are one class, represented by the
 smallest id.  Within a bucket not all pairs are formed.  Every member is compared with the bucket's
-hub, the member that shares the most candidates.  Buckets whose members then lie in one component
-are finished, because further links in them could change nothing.  Members of the others go
-through an exact prefix filter over their full sets, which misses no link between components.
+hub, the member that shares the most candidates.  Buckets whose other members then lie in one
+component are finished, because further links in them could change nothing.  In those left, two more
+hubs from different components are compared with the rest, which finishes buckets of up to four
+members; what still lies apart goes through an exact prefix filter over full sets, which misses no
+link between components.
 
 With 32 bands of 4 rows a pair at similarity 0.8 escapes all buckets with probability 5e-8.
 
@@ -108,16 +110,63 @@ def link(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, bands: int
     return signed, classes, connect(banded, lambda ids: _sets(base, ids, k), num, den, given)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets reach the similarity; sizes are compared before any set moves."""
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, cut=None) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose full sets reach the similarity; sizes are compared before any set moves.
+
+    With ``cut``, which turns a list of texts into sorted sets, ``items`` are texts: far fewer bytes to move.
+    """
     left, right = (sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"i{x}")) for x in "ab")
     sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b")
-    both = sized.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("ia", "ib")))
-    return both.where(F.col("i") * den >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    both = sized.join(left, "a").join(right, "b")
+    if cut is None:
+        both = both.withColumn("i", F.size(F.array_intersect("ia", "ib")))
+        return both.where(F.col("i") * den >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+
+    def run(batches):
+        for b in batches:
+            one, two = (cut(b[x].to_pylist()) for x in ("ia", "ib"))
+            same = np.fromiter((len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two)), np.int64, len(one))
+            union = np.fromiter((len(x) + len(y) for x, y in zip(one, two)), np.int64, len(one)) - same
+            at = np.flatnonzero(same * den >= num * union)
+            yield {"a": b["a"].take(at), "b": b["b"].take(at)}
+
+    return common.in_arrow(both.select("a", "b", "ia", "ib"), run, "a bigint, b bigint")
+
+
+def _exploded(sets: DataFrame, cut) -> DataFrame:
+    """``rep, c, n, t``: one row an item of a set."""
+    if cut is None:
+        return sets.select("rep", "c", "n", F.explode("items").alias("t"))
+
+    def run(batches):
+        for b in batches:
+            found = cut(b["items"].to_pylist())
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield {x: b[x].take(at) for x in ("rep", "c", "n")} | {"t": common.as_long(np.concatenate(found))}
+
+    return common.in_arrow(sets.select("rep", "c", "n", "items"), run, "rep bigint, c bigint, n bigint, t bigint")
+
+
+def _rivals(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` to compare within buckets that their hub left divided, and ``rep, c`` of members that need more.
+
+    ``members`` are ``h, rep, p`` with the hub ``p``, whose pairs are known.  Two further hubs, from
+    different components, meet all others of their bucket: that is every pair of up to three members.
+    """
+    m = members.where("rep <> p").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", F.coalesce("comp", "rep").alias("c"))
+    ends = m.groupBy("h").agg(F.min(F.struct("c", "rep")).alias("lo"), F.max(F.struct("c", "rep")).alias("hi")).where("lo.c < hi.c")
+    live = common.stage(m.join(ends, "h"), "live")
+    met = live.select("rep", "c", F.explode(F.array("lo", "hi")).alias("e")).where("c <> e.c")
+    pairs = common.stage(met.select(F.least("rep", "e.rep").alias("a"), F.greatest("rep", "e.rep").alias("b")).distinct(), "pairs")
+    others = live.where("rep <> lo.rep and rep <> hi.rep")
+    apart = others.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
+    left = common.stage(others.join(apart, "h", "left_semi").select("rep", "c").distinct(), "left")
+    common.discard(live)
+    return pairs, left
 
 
-def _rest(members: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``(a, b)`` that may still link two components, for members of buckets that stay divided.
+def _rest(left: DataFrame, sets: DataFrame, num: int, den: int, cut=None) -> DataFrame:
+    """Pairs ``(a, b)`` that may still link two components, for members ``rep, c`` of buckets that stay divided.
 
     An exact filter, so no bucket is compared pair by pair.  Items are put into one order: first those
     that occur in a single component, then by rising frequency.  If two sets are similar enough, their
@@ -126,10 +175,7 @@ def _rest(members: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den:
     sizes its partner may have.  Under each key the rows of its most frequent component are not
     compared with each other.
     """
-    m = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", F.coalesce("comp", "rep").alias("c"))
-    live = m.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    left = m.join(live, "h", "left_semi").select("rep", "c").distinct()
-    items = sets.join(left, "rep").select("rep", "c", "n", F.explode("items").alias("t"))
+    items = _exploded(sets.join(left, "rep"), cut)
     common_items = items.groupBy("t").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t", "f")
     ordered = items.join(common_items, "t").groupBy("rep", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
     placed = ordered.select("rep", "c", "n", F.expr("n - size(s)").alias("u"), F.posexplode("s").alias("e", "x")).select("rep", "c", "n", F.expr("n - u - e").alias("rest"), F.col("x.t").alias("t"))
@@ -183,13 +229,14 @@ def _members(banded: DataFrame) -> DataFrame:
     return met
 
 
-def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | None = None) -> DataFrame:
+def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | None = None, cut=None) -> DataFrame:
     """Components ``(id, comp)`` over ``(rep, bands)`` that share a bucket key and pass the exact test.
 
-    ``sets_of(ids)`` gives ``rep, n, items`` for a frame of ``rep``; ``given`` are links ``(a, b)`` known
-    beforehand.  First each bucket's members are compared with the one that shares the most candidates,
-    since the text that a group was copied from agrees with more of the group than the copies do
-    with each other; then :func:`_rest` finds what may link the components still apart.
+    ``sets_of(ids)`` gives ``rep, n, items`` for a frame of ``rep``, where ``items`` are a set, or a text that
+    ``cut`` turns into one; ``given`` are links ``(a, b)`` known beforehand.  First each bucket's members are
+    compared with the one that shares the most candidates, since the text that a group was copied from
+    agrees with more of the group than the copies do with each other; then :func:`_rivals` and
+    :func:`_rest` find what may link the components still apart.
     """
     spark = banded.sparkSession
     met = _members(banded)
@@ -200,14 +247,22 @@ def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | N
     members = met.select("h", "rep")
     ties = met.groupBy("rep").agg(F.sum("size").alias("ties"))
     pivots = met.join(ties, "rep").groupBy("h").agg(F.max(F.struct("ties", (-F.col("rep")).alias("r"))).alias("p")).select("h", (-F.col("p.r")).alias("p"))
-    pairs = common.stage(members.join(pivots, "h").where("p <> rep").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct(), "pairs")
-    sets = common.stage(sets_of(members.select("rep").distinct()), "sets")
-    found = common.stage(links.select("a", "b").unionByName(_verified(pairs, sets, num, den)), "links")
+    members = common.stage(members.join(pivots, "h"), "members")
+    pairs = common.stage(members.where("p <> rep").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct(), "pairs")
+    sets = common.stage(sets_of(met.select("rep").distinct()), "sets")
+    found = common.stage(links.select("a", "b").unionByName(_verified(pairs, sets, num, den, cut)), "links")
     first = common.components(found)
-    common.discard(pairs, found)
-    pairs = _rest(members, first, sets, num, den)
-    found = common.stage(_verified(pairs, sets, num, den), "links")
-    common.discard(pairs, sets, met)
+    common.discard(found, met)
+    more, left = _rivals(members, first)
+    untried = more.join(pairs, ["a", "b"], "left_anti")
+    found = _verified(untried, sets, num, den, cut)
+    if left.isEmpty():
+        found = common.stage(found, "links")
+    else:
+        rest = _rest(left, sets, num, den, cut)
+        found = common.stage(found.unionByName(_verified(rest, sets, num, den, cut)), "links")
+        common.discard(rest)
+    common.discard(pairs, more, left, sets, members)
     if found.isEmpty():
         common.discard(found)
         return first
