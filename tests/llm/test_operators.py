@@ -1,6 +1,7 @@
 """The text operators on small tables: nulls, empty and repeated rows, clashing columns, empty tables."""
 
 import hashlib
+import math
 import zlib
 
 import public_tokenizers
@@ -127,6 +128,36 @@ def test_ppm(docs, none):
     assert ppm.score(none).count() == 0
 
 
+def test_ppm_keeps_every_context(docs):
+    after: dict[bytes, dict[int, int]] = {}
+    for d, t in (r[:2] for r in ROWS):
+        if d is not None and zlib.crc32(str(d).encode()) % 5 != 1:
+            b = ppm.stream(t or "")
+            for i in range(ppm.ORDER, len(b)):
+                for k in range(ppm.ORDER + 1):
+                    n = after.setdefault(b[i - k : i], {})
+                    n[b[i]] = n.get(b[i], 0) + 1
+
+    def log_p(context: bytes, byte: int) -> float:
+        p, seen = 1.0, set()
+        for k in range(ppm.ORDER, -1, -1):
+            n = {x: c for x, c in after.get(context[ppm.ORDER - k :], {}).items() if x not in seen}
+            if byte in n:
+                return math.log10(p * n[byte] / (sum(n.values()) + len(n)))
+            if n:
+                p *= len(n) / (sum(n.values()) + len(n))
+                seen |= set(n)
+        return math.log10(p / (255 - len(seen)))
+
+    want = []
+    for d, t in (r[:2] for r in ROWS):
+        b = ppm.stream(t or "")
+        want.append((-1 if d is None else d, sum(log_p(b[i - ppm.ORDER : i], b[i]) for i in range(ppm.ORDER, len(b)))))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in ppm.score(docs).collect())
+    assert [d for d, _ in got] == [d for d, _ in sorted(want)]
+    assert [x for _, x in got] == pytest.approx([x for _, x in sorted(want)], rel=1e-5)
+
+
 def test_suffix_dedup_against_brute_force(docs, none):
     got = {r.doc_id: r for r in suffixes.deduplicate(docs).collect()}
     seen: dict[bytes, int] = {}
