@@ -6,8 +6,8 @@ of equal form are one class.  Signature coordinates are minima of multiplicative
 of mixed shingle hashes, computed for whole batches of lines at once; classes that agree in a
 band are candidates and are linked if their full sets reach the Jaccard similarity
 ``num / den``; of every connected component only its first line (by document id, then
-position) stays.  12 bands of 4 rows find a pair at similarity 0.85 with probability 0.9998, and
-one at 0.9 with 0.999997.
+position) stays.  24 bands of 4 rows find a pair at similarity 0.8 with probability 0.999997.  With 4
+characters at 0.8, lines from 39 characters on are linked whichever one character was changed.
 
 Edge cases: blank lines are neither compared nor removed; a null text has no lines; rows with a
 null id are left as they are; rows that share an id count as one document, so equal lines at
@@ -139,7 +139,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return exact.groupBy("rep").agg(F.first("n").alias("n"), F.first("items").alias("items"))
 
 
-def repeated_lines(docs: DataFrame, k: int = 8, num: int = 85, den: int = 100, bands: int = 12, rows: int = 4) -> DataFrame:
+def repeated_lines(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, bands: int = 24, rows: int = 4) -> DataFrame:
     """``doc_id, line, key, component, kept`` of every non-blank line; lines count from 0."""
     common.tune(docs.sparkSession)
     base = common.texts(docs).where("doc_id is not null")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 
 import public_tokenizers
@@ -54,6 +55,29 @@ def test_line_dedup(docs, none):
     assert line_dedup.repeated_lines(none).count() == 0
 
 
+def test_line_dedup_of_edited_lines_against_brute_force(spark):
+    rng = random.Random(5)
+    lines = []
+    for size in (40, 60, 80, 100):
+        for _ in range(6):
+            words = []
+            while len(" ".join(words)) < size:
+                words.append("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))))
+            line, at = " ".join(words)[:size].replace(" ", "-", 1), size // 2
+            lines += [line, line[:at] + "#" + line[at + 1 :], " ".join(words[:3] + words[4:])]
+    sets = [{f[i : i + 4] for i in range(len(f) - 3)} for f in map(line_dedup.form, lines)]
+    root = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                hi, lo = max(root[a], root[b]), min(root[a], root[b])
+                root = [lo if r == hi else r for r in root]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    kept = {r.doc_id for r in line_dedup.repeated_lines(df).where("kept").collect()}
+    assert kept == {i for i, r in enumerate(root) if r == i}
+    assert not any(i in kept for i in range(1, len(lines), 3))  # one character
+
+
 def test_language_id(docs, none):
     got = langid.identify(docs, langid.fit(docs)).collect()
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
