@@ -226,6 +226,13 @@ def _braces(text: str, lang: str) -> tuple[list[_Space], str | None]:
     starts = [i for i, c in enumerate(text) if c == "\n"]
     import bisect
 
+    # Keywords whose block has not opened, each as the round brackets and braces around it.
+    waiting, paren = [], 0
+    bare = lang in ("go", "rust")  # conditions need no brackets
+
+    def after(i: int) -> str:
+        return next((x[2] for x in toks[i + 1 :] if x[1] != "comment"), "") if i + 1 < len(toks) and toks[i + 1][1] == "comment" else toks[i + 1][2] if i + 1 < len(toks) else ""
+
     is_fn = re.compile(rule["fn"]) if rule["fn"] else None
     last_op = None
     for i, (at, kind, t) in enumerate(toks):
@@ -247,7 +254,8 @@ def _braces(text: str, lang: str) -> tuple[list[_Space], str | None]:
             if pending:
                 what, name, start, from_tok = pending
                 s = _Space(len(rows), space.head[0], len(stack), what, name, start, start)
-                head = [x[2] for x in toks[from_tok:i]] if lang != "c" else [x[2] for x in toks[max(0, i - 40) : i]]
+                first = from_tok if lang != "c" or what != "function" else _opening(toks, i - 1)
+                head = [x[2] for x in toks[first:i] if x[1] != "comment"]
                 s.n["args"] = _args(head)
                 if what == "function" and space.head[3] in ("class", "interface", "trait", "impl"):
                     hidden = {"private", "protected"} & {x[2] for x in toks[max(0, from_tok - 3) : from_tok]}
@@ -257,16 +265,32 @@ def _braces(text: str, lang: str) -> tuple[list[_Space], str | None]:
                 stack.append((s, depth))
                 nest.append((depth, "space"))
                 pending = None
-            elif i and any(x[2] in rule["nest"] for x in toks[max(0, i - 30) : i]):
-                nest.append((depth, "block"))
+            else:
+                while waiting and waiting[-1] == (paren, depth - 1):
+                    waiting.pop()
+                    nest.append((depth, "block"))
         elif kind == "op" and t == "}":
-            if nest and nest[-1][0] == depth:
+            while nest and nest[-1][0] == depth:
                 nest.pop()
+            while waiting and waiting[-1][1] >= depth:
+                waiting.pop()
             if len(stack) > 1 and stack[-1][1] == depth:
                 s, _ = stack.pop()
                 s.head = (*s.head[:6], line)
                 s.n["sloc"] = line - s.head[5] + 1
             depth = max(0, depth - 1)
+        elif kind == "op" and t == "(":
+            paren += 1
+        elif kind == "op" and t == ")":
+            paren = max(0, paren - 1)
+            if not bare and after(i) != "{" and after(i) not in rule["nest"]:  # a body without braces
+                while waiting and waiting[-1] == (paren, depth):
+                    waiting.pop()
+        elif kind == "op" and t == ";":
+            while not bare and waiting and waiting[-1] == (paren, depth):
+                waiting.pop()
+        elif kind == "name" and (t in rule["nest"] and (i == 0 or toks[i - 1][2] != "else") or t in ("else", "elseif", "elsif") and (after(i) in ("{", "if") or t != "else")):
+            waiting.append((paren, depth))
         level = 0
         for _, what in reversed(nest):
             if what == "space":
@@ -304,6 +328,16 @@ def _braces(text: str, lang: str) -> tuple[list[_Space], str | None]:
     return rows, "unbalanced braces" if depth else None
 
 
+def _opening(toks: list[tuple[int, str, str]], close: int) -> int:
+    """The place of the bracket that the one at ``close`` ends."""
+    level = 0
+    for i in range(close, -1, -1):
+        level += (toks[i][2] == ")") - (toks[i][2] == "(")
+        if level == 0:
+            return i
+    return 0
+
+
 def _args(head: list[str]) -> int:
     if "(" not in head:
         return 0

@@ -30,6 +30,19 @@ def test_go():
     assert (rows[1]["decisions"], rows[1]["args"], rows[1]["exits"]) == (2, 2, 2)
 
 
+def test_c_arguments_at_any_distance():
+    rows = counts("int f(void) { return a ? 1 : 0; } int g(int a, int b) { return a; }\nint h(" + ", ".join(f"const struct item *p{i}" for i in range(9)) + ") { return 0; }\n", "c")
+    assert [r["args"] for r in rows if r["kind"] == "function"] == [0, 2, 9]
+
+
+def test_nesting_belongs_to_the_keywords_own_block():
+    long = " + ".join(f"a{i}" for i in range(40))
+    (f,) = counts("int f(int a) { if (" + long + ") { if (a) { a = 1; } } else { a = 2; } }\n", "c")[1:]
+    assert f["cognitive"] == 1 + 2 + 1
+    (f,) = counts("int f(int a) { if (a) a = 1; { if (a) { a = 2; } } for (;;) { while (a) a--; } }\n", "c")[1:]
+    assert f["cognitive"] == 1 + 1 + 1 + 2
+
+
 def test_markdown_blocks():
     kinds = [b["kind"] for b in markdown.blocks("---\na: 1\n---\n# T\n\npara\n\n- x\n\n> q\n\n| a | b |\n|--|--|\n| 1 | |\n\n```py\nx\n```\n")]
     assert [k for k in kinds if k != "blank"] == ["metadata", "heading", "paragraph", "item", "quote", "table", "code"]
