@@ -10,6 +10,7 @@ process ends.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,11 +39,13 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset, on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("lexigrain.tmp.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexigrain-")
         spark.conf.set("lexigrain.tmp.dir", found)
     return found.rstrip("/")
@@ -63,11 +66,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a stage table and read it back, which cuts its lineage."""
+    """Write ``df`` as a stage table and read it back, which cuts its lineage.
+
+    As nothing reads the shuffles behind it any more, Spark may remove their files as soon as it is written.
+    """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # The plan is made anew, for the setting to hold for it.
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexigrain_path = path
     return out
@@ -169,33 +184,49 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternates large-star and small-star steps, each one aggregation by key and one join, so
     that no group of neighbours is ever gathered; a stage table after each round cuts the
-    lineage.  Self-loops and repeated edges are harmless; ids without an edge do not appear.
+    lineage.  It ends as soon as every node hangs on one root and no root hangs on another node.
+    Self-loops and repeated edges are harmless; ids without an edge do not appear.
     """
-    spark = edges.sparkSession
     cur = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    last = None
-    while True:
+    while not _is_stars(cur):
         # Large star: every node hands its smallest neighbour to the neighbours above it.
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: every node hands its smallest neighbour to those at or below it.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         nxt = stage(small.where("a <> b").distinct(), name)
-        seen = nxt.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s")).first()
         discard(cur)
         cur = nxt
-        if last == (seen.n, seen.s):
-            break
-        last = (seen.n, seen.s)
-    out = cur.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "id")
-    roots = out.select(F.col("comp").alias("id")).distinct().select("id", F.col("id").alias("comp"))
-    res = stage(out.union(roots), name)
+    roots = cur.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("comp"))
+    res = stage(cur.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(roots), name)
     discard(cur)
     return res
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every ``a`` has one ``b`` and no ``b`` is an ``a``."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
+def joined_components(comps: DataFrame, links: DataFrame, name: str = "components") -> DataFrame:
+    """The components that ``links(a, b)`` make of ``comps(id, comp)``; only the components that they touch are searched.
+
+    ``comps`` is a stage table and is removed.
+    """
+    by = [comps.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+    ends = links.join(by[0], "a", "left").join(by[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(ends, name)
+    renamed = comps.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    # Ids that had no component are nodes of their own in `merged`.
+    fresh = merged.join(comps.select("id"), "id", "left_anti")
+    res = stage(renamed.union(fresh), name)
+    discard(comps, merged)
+    return res
+
+
 # --------------------------------------------------------------------- bounded sieve of ids
 #: Bits of a sieve: its size is fixed (8 MB), so it may be broadcast at any scale.
 SIEVE_LOG = 26

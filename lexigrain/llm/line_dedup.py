@@ -2,17 +2,22 @@
 
 A line is compared in a normal form (lower case, runs of white space as one blank, ends trimmed).
 Its set holds the shingles of ``k`` characters of that form, or the whole of a shorter form.  Lines
-of equal form are one class.  Signature coordinates are minima of multiplicative permutations
-of mixed shingle hashes, computed for whole batches of lines at once; classes that agree in a
-band are candidates and are linked if their full sets reach the Jaccard similarity
-``num / den``; of every connected component only its first line (by document id, then
-position) stays.  24 bands of 4 rows find a pair at similarity 0.8 with probability 0.999997.  With 4
-characters at 0.8, lines from 39 characters on are linked whichever one character was changed.
+of equal form are one class, known by 128 bits of hash.  Classes that agree in a band of their MinHash signature are candidates and
+are linked if their full sets reach the Jaccard similarity ``num / den``; of every connected component
+only its first line (by document id, hash of the text, position) stays.  With 4 characters at 0.8, lines
+from 39 characters on are linked whichever one character was changed.
+
+Signatures are taken over shingles of ``GRAM`` characters, longer ones than are compared.  Unrelated lines of one
+language share many runs of 4 characters, the more the longer they are, so bands over these would
+make candidates of pairs without number; runs of 7 they hardly share.  Coordinates are minima of
+multiplicative permutations of mixed shingle hashes, computed for whole batches of lines.  A pair at the
+threshold shares about 0.675 of the longer shingles, and 28 bands of 4 rows find it with probability
+0.998; at 0.85 with 0.99999.
 
 Edge cases: blank lines are neither compared nor removed; a null text has no lines; rows with a
-null id are left as they are; rows that share an id count as one document, so equal lines at
-equal places of them are one line; extra columns are kept; an empty table gives an empty result.
-A class is known by a 64-bit hash of its form.
+null id are left as they are; rows that share an id but not a text are documents of their own, rows equal in
+both are one document, so equal lines at equal places of them are one line; extra columns are kept,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,45 +29,68 @@ from pyspark.sql import functions as F
 
 from . import common, near_dedup
 
+#: Characters of the shingles that signatures are taken over.
+GRAM = 7
 _M = np.random.default_rng(20).integers(0, 1 << 32, 512, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_CHARS = 200_000
+_CHARS = 60_000
 
 
 def form(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def _ragged(forms: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all lines one after another, and where each line's begin."""
+def _points(forms: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all lines one after another, each filled up to ``k``; which places begin a shingle; where lines' shingles begin."""
     raw = [f.encode("utf-32-le", "surrogatepass") for f in forms]
     size = np.fromiter((max(len(r) // 4, k) for r in raw), np.int64, len(raw))
-    points = np.frombuffer(b"".join(r.ljust(4 * k, b"\0") for r in raw), "<u4").astype(np.uint64)
-    acc = np.zeros(len(points) - k + 1, np.uint64)
-    for j in range(k):
-        acc = acc * np.uint64(0x9E3779B97F4A7C15) + points[j : len(points) - k + 1 + j]
+    points = np.frombuffer(b"".join(r.ljust(4 * k, b"\0") for r in raw), "<u4")
     keep = np.ones(len(points), bool)
     ends = np.cumsum(size)
     for j in range(1, k):
         keep[ends - j] = False
-    starts = np.concatenate([[0], np.cumsum(size - k + 1)[:-1]])
+    return points, keep, np.concatenate([[0], np.cumsum(size - k + 1)[:-1]])
+
+
+def _ragged(forms: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit shingle hashes of all lines one after another, and where each line's begin."""
+    points, keep, starts = _points(forms, k)
+    points, acc = points.astype(np.uint64), np.zeros(len(points) - k + 1, np.uint64)
+    for j in range(k):
+        acc = acc * np.uint64(0x9E3779B97F4A7C15) + points[j : len(points) - k + 1 + j]
     return common.mix64(acc[keep[: len(acc)]]), starts
 
 
+def _short(forms: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same in 32 bits, for signatures."""
+    points, keep, starts = _points(forms, k)
+    n = len(points) - k + 1
+    acc = points[:n].copy()
+    for j in range(1, k):
+        acc *= np.uint32(0x9E3779B1)
+        acc += points[j : n + j]
+    acc = acc[keep[:n]]
+    for shift, by in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1)):
+        acc ^= acc >> np.uint32(shift)
+        acc *= np.uint32(by)
+    return acc, starts
+
+
 def signatures(forms: list[str], k: int, coordinates: int) -> np.ndarray:
     """``(lines, coordinates)`` MinHash signatures of non-blank forms."""
-    out = np.empty((len(forms), coordinates), np.uint32)
+    out = np.empty((coordinates, len(forms)), np.uint32)
     at = 0
     while at < len(forms):
         to, total = at, 0
         while to < len(forms) and (to == at or total + len(forms[to]) < _CHARS):
             total += len(forms[to])
             to += 1
-        x, starts = _ragged(forms[at:to], k)
-        x = (x ^ (x >> np.uint64(32))).astype(np.uint32)
+        x, starts = _short(forms[at:to], k)
+        turned = np.empty_like(x)
         for c in range(coordinates):
-            np.minimum.reduceat(x * _M[c], starts, out=out[at:to, c])
+            np.multiply(x, _M[c], out=turned)
+            np.minimum.reduceat(turned, starts, out=out[c, at:to])
         at = to
-    return out
+    return out.T
 
 
 def _keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -73,38 +101,70 @@ def _keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc
 
 
-def _key(f: str) -> int:
-    return xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _key(f: str) -> tuple[int, int]:
+    """Two halves of a 128-bit hash."""
+    h = xxhash.xxh3_128_intdigest(f.encode("utf-8", "surrogatepass"))
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+
+
+def _shingles(f: str, k: int) -> set[str]:
+    return {f[i : i + k] for i in range(max(len(f) - k + 1, 1))}
 
 
 def _lines(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, line, key, bands`` of non-blank lines; bucket keys only where a task first meets a class."""
+    """One row a text: ``doc_id, tkey``, and for its non-blank lines ``line, key, check``.
+
+    Of classes that a task meets first here, the names (``reps``), forms and bucket keys follow.
+    """
 
     def run(batches):
-        met: set[int] = set()
+        met: set[tuple[int, int]] = set()
         for b in batches:
-            out = {"doc_id": [], "line": [], "key": []}
-            fresh: dict[int, tuple[int, str]] = {}
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                for i, raw in enumerate(text.split("\n")):
-                    if f := form(raw):
-                        key = _key(f)
-                        if key not in met:
-                            met.add(key)
-                            fresh[key] = (len(out["key"]), f)
-                        out["doc_id"].append(doc_id)
-                        out["line"].append(i)
-                        out["key"].append(key)
-            keys: list = [None] * len(out["key"])
-            if fresh:
-                found = common.as_long(_keys(signatures([f for _, f in fresh.values()], k, bands * rows), bands, rows))
-                for (at, _), row in zip(fresh.values(), found):
-                    keys[at] = row
-            if len(met) > 1_000_000:
+            out = {c: [] for c in ("line", "key", "check", "reps", "forms", "bands")}
+            fresh: list[str] = []
+            for text in b["text"].to_pylist():
+                line, key, check, reps = [], [], [], []
+                # Lower case first: it makes or moves no line feed.
+                for i, raw in enumerate(text.lower().split("\n")):
+                    if f := " ".join(raw.split()):
+                        name = _key(f)
+                        if name not in met:
+                            met.add(name)
+                            reps.append(name[0])
+                            fresh.append(f)
+                        line.append(i)
+                        key.append(name[0])
+                        check.append(name[1])
+                for c, v in (("line", line), ("key", key), ("check", check), ("reps", reps)):
+                    out[c].append(v)
+            keys = _keys(signatures(fresh, GRAM, bands * rows), bands, rows).astype("<u8") if fresh else np.empty((0, bands), "<u8")
+            done = 0
+            for reps in out["reps"]:
+                to = done + len(reps)
+                out["forms"].append(fresh[done:to])
+                out["bands"].append(keys[done:to].tobytes())
+                done = to
+            if len(met) > 500_000:
                 met.clear()
-            yield out | {"bands": keys}
+            yield {"doc_id": b["doc_id"], "tkey": b["tkey"]} | out
+
+    schema = "doc_id bigint, tkey bigint, line array<int>, key array<bigint>, check array<bigint>, reps array<bigint>, forms array<string>, bands binary"
+    return common.in_arrow(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text"), run, schema)
+
+
+def _forms(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rep, items``: the forms of the classes asked for."""
+    sieve = common.Sieve(ids, common.key_slot("rep"))
 
-    return common.in_arrow(docs, run, "doc_id bigint, line int, key bigint, bands array<bigint>")
+    def run(batches):
+        for b in batches:
+            reps, forms = b["reps"].flatten(), b["forms"].flatten()
+            at = np.flatnonzero(sieve.passes(np.mod(reps.to_numpy(), 1 << common.SIEVE_LOG)))
+            yield {"rep": reps.take(at), "items": forms.take(at)}
+
+    found = common.in_arrow(lines.select("reps", "forms"), run, "rep bigint, items string").join(ids, "rep", "left_semi")
+    # Tasks may each have met a class; a 64-bit name that two forms share stands for one of them.
+    return found.groupBy("rep").agg(F.max("items").alias("items"))
 
 
 def _cut(forms: list[str], k: int) -> list[np.ndarray]:
@@ -112,67 +172,96 @@ def _cut(forms: list[str], k: int) -> list[np.ndarray]:
     return [np.unique(_ragged([f], k)[0]) for f in forms]
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``rep, n, items`` for the classes asked for: set sizes and forms, which are smaller than their sets."""
-    sieve = common.Sieve(ids, common.key_slot("rep"))
+def _alike(k: int, num: int, den: int):
+    """Makes functions that tell of two lists of forms which pairs reach the similarity; they remember the sets of some forms."""
 
-    def run(batches):
-        met: set[int] = set()
-        for b in batches:
-            forms = {}
-            for text in b["text"].to_pylist():
-                for raw in text.split("\n"):
-                    if (f := form(raw)) and (key := _key(f)) not in met:
-                        forms[key] = f
-            keys = np.fromiter(forms, np.int64, len(forms))
-            ok = sieve.passes(np.mod(keys, 1 << common.SIEVE_LOG))
-            wanted = keys[ok].tolist()
-            found = [forms[key] for key in wanted]
-            met.update(wanted)
-            if len(met) > 1_000_000:
-                met.clear()
-            yield {"rep": wanted, "n": list(map(len, _cut(found, k))), "items": found}
+    def make():
+        held: dict[str, set[str]] = {}
 
-    made = common.in_arrow(docs, run, "rep bigint, n bigint, items string")
-    exact = made.join(ids, "rep", "left_semi")
-    # Tasks may each have met a class; the set is the same.
-    return exact.groupBy("rep").agg(F.first("n").alias("n"), F.first("items").alias("items"))
+        def shingles(f: str) -> set[str]:
+            if (s := held.get(f)) is None:
+                if len(held) >= 2000:
+                    held.clear()
+                s = _shingles(f, k)
+                if len(f) < 4000:
+                    held[f] = s
+            return s
 
+        def test(one: list[str], two: list[str]) -> list[bool]:
+            out = []
+            for x, y in zip(one, two):
+                a, b = shingles(x), shingles(y)
+                small, large = sorted((len(a), len(b)))
+                if small * den < num * large:
+                    out.append(False)
+                else:
+                    same = len(a & b)
+                    out.append(same * den >= num * (small + large - same))
+            return out
 
-def repeated_lines(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, bands: int = 24, rows: int = 4) -> DataFrame:
-    """``doc_id, line, key, component, kept`` of every non-blank line; lines count from 0."""
+        return test
+
+    return make
+
+
+def line_classes(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, bands: int = 28, rows: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Every text's lines, ``doc_id, tkey, line, key, check`` with arrays, and ``(key, check, component, first)``
+    of classes that are linked or occur more than once; ``first`` is the place of the line that stays."""
     common.tune(docs.sparkSession)
     base = common.texts(docs).where("doc_id is not null")
     lines = common.stage(_lines(base, k, bands, rows), "lines")
-    banded = lines.where("bands is not null").select(F.col("key").alias("rep"), "bands")
-    comps = near_dedup.connect(banded, lambda ids: _sets(base, ids, k), num, den, cut=lambda forms: _cut(forms, k))
-    joined = lines.select("doc_id", "line", "key").join(comps.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("comp", "key"))
-    first = joined.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))
-    return joined.join(first, "component").select("doc_id", "line", "key", "component", kept.alias("kept"))
+    banded = lines.where("size(reps) > 0").select("reps", F.transform("reps", lambda x: F.lit(0).cast("long")).alias("ns"), "bands")
+    comps = near_dedup.connect(banded, lambda ids: _forms(lines, ids), num, den, cut=lambda f: _cut(f, k), alike=_alike(k, num, den))
+    places = _places(lines).select("key", "check", F.struct("doc_id", "tkey", "line").alias("place"))
+    classes = places.groupBy("key", "check").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    found = classes.join(comps.select(F.col("id").alias("key"), "comp"), "key", "left").where("comp is not null or first <> last")
+    found = common.stage(found.select("key", "check", "comp", "first"), "repeated")
+    heads = found.where("comp is not null").groupBy("comp").agg(F.min("first").alias("head"))
+    out = found.join(heads, "comp", "left").select("key", "check", F.coalesce("comp", "key").alias("component"), F.coalesce("head", "first").alias("first"))
+    return lines.select("doc_id", "tkey", "line", "key", "check"), common.stage(out, "classes")
+
+
+def _places(lines: DataFrame) -> DataFrame:
+    """``doc_id, tkey, line, key, check``: one row a line."""
+    return lines.select("doc_id", "tkey", F.explode(F.arrays_zip("line", "key", "check")).alias("x")).select("doc_id", "tkey", "x.line", "x.key", "x.check")
+
+
+def repeated_lines(docs: DataFrame, **how) -> DataFrame:
+    """``doc_id, line, key, component, kept`` of every non-blank line; lines count from 0."""
+    lines, classes = line_classes(docs, **how)
+    kept = F.coalesce(F.struct("doc_id", "tkey", "line") == F.col("first"), F.lit(True))
+    return _places(lines).join(classes, ["key", "check"], "left").select("doc_id", "line", "key", F.coalesce("component", "key").alias("component"), kept.alias("kept"))
 
 
 def removed(docs: DataFrame, **how) -> DataFrame:
-    """``doc_id, lines``: the numbers of the lines to remove, for documents that have any."""
-    gone = repeated_lines(docs, **how).where("not kept")
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    """``doc_id, tkey, lines``: the numbers of the lines to remove, for texts that have any."""
+    lines, classes = line_classes(docs, **how)
+    places = _places(lines)
+    gone = places.join(classes, ["key", "check"]).where(F.struct("doc_id", "tkey", "line") != F.col("first"))
+    return gone.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def rewrite(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents, all columns kept, without the lines of ``gone``; documents that lose their last line go."""
-    names = docs.columns
-    both = docs.join(gone.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")), F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    cut = F.split("text", "\n", -1)
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("old"))
+    both = named.join(gone.select(F.col("doc_id").alias("of"), F.col("tkey").alias("of_key"), "lines"), (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
     # A map of line numbers makes the test for one line independent of how many lines go.
-    held = F.map_from_arrays(F.col("__lines"), F.transform("__lines", lambda i: F.lit(True)))
-    new = F.array_join(F.filter(cut, lambda x, i: ~F.coalesce(F.try_element_at(held, i), F.lit(False))), "\n")
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(new)
-    out = both.withColumn("__text", text).where(F.col("__lines").isNull() | (F.trim(F.regexp_replace("__text", r"\s+", " ")) != ""))
-    return out.withColumn("text", F.col("__text")).select(*names)
+    held = F.map_from_arrays(F.col("lines"), F.transform("lines", lambda i: F.lit(True)))
+    left = F.array_join(F.filter(F.split("old", "\n", -1), lambda x, i: ~F.coalesce(F.try_element_at(held, i), F.lit(False))), "\n")
+    whole = F.col("lines").isNull()
+    out = both.withColumn("new", F.when(~whole, left)).where(whole | (F.trim(F.regexp_replace("new", r"\s+", " ")) != ""))
+    kept = [F.when(whole, F.col(f"row.c{i}")).otherwise(F.col("new")).alias(c) if c == "text" else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return out.select(*kept)
 
 
 def summary(docs: DataFrame, **how) -> DataFrame:
-    """``doc_id, n_lines, n_removed, removed_lines`` of every document with a line."""
-    lines = repeated_lines(docs, **how)
-    gone = F.when(~F.col("kept"), F.col("line"))
-    return lines.groupBy("doc_id").agg(F.count_distinct("line").alias("n_lines"), F.size(F.collect_set(gone)).cast("long").alias("n_removed"), F.sort_array(F.collect_set(gone)).alias("removed_lines"))
+    """``doc_id, n_lines, n_removed, removed_lines`` of every document with a line; texts of one id are counted together."""
+    lines, classes = line_classes(docs, **how)
+    places = _places(lines)
+    gone = places.join(classes, ["key", "check"]).where(F.struct("doc_id", "tkey", "line") != F.col("first")).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    sizes = lines.where("size(line) > 0").groupBy("doc_id", "tkey").agg(F.max(F.size("line")).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_lines"))
+    none = F.array().cast("array<int>")
+    out = sizes.join(gone, "doc_id", "left").withColumn("removed_lines", F.sort_array(F.coalesce("gone", none)))
+    return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")

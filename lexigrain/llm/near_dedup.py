@@ -7,18 +7,20 @@ into bands; documents that agree in a band are candidates; a candidate pair beco
 if its full shingle sets satisfy ``den * |A & B| >= num * |A | B|``.
 
 Copies collapse first: documents with equal shingle sets are one class, represented by the
-smallest id.  Within a bucket not all pairs are formed.  Every member is compared with the bucket's
-hub, the member that shares the most candidates.  Buckets whose other members then lie in one
-component are finished, because further links in them could change nothing.  In those left, two more
-hubs from different components are compared with the rest, which finishes buckets of up to four
-members; what still lies apart goes through an exact prefix filter over full sets, which misses no
-link between components.
+smallest id.  Within a bucket not all pairs are formed.  Every bucket has a hub, the member that shares
+the most candidates.  First each class meets the one hub that it shares the most buckets with; then,
+of the hubs in components other than its own, the best one of each component; then the hubs that are
+still elsewhere.  Buckets whose other members by then lie in one component are finished, because further
+links in them could change nothing.  In those left, two more hubs from different components are compared
+with the rest, which finishes buckets of up to four members; what still lies apart after that goes
+through an exact prefix filter over full sets, which misses no link between components.
 
 With 32 bands of 4 rows a pair at similarity 0.8 escapes all buckets with probability 5e-8.
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing;
 a text of fewer than ``k`` words is one shingle; rows that share an id count as one document
-(linked to each other if their sets are not empty); rows with a null id are returned with their
+(linked to each other if their sets are not empty) in :func:`near_duplicates`, and stand for themselves
+in :func:`copies`, which names rows by id and text; rows with a null id are returned with their
 set size, a null component and ``kept`` true; extra columns are ignored; an empty table gives an
 empty result.
 """
@@ -65,7 +67,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n, digest, bands``: set size, digest of the set (null when empty), bucket keys."""
+    """``doc_id, tkey, n, digest, bands``: hash of the text, set size, digest of the set (null when empty), bucket keys."""
 
     def run(batches):
         for b in batches:
@@ -74,60 +76,74 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 s = np.unique(common.shingles(common.words(text), k))
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(common.as_long(band_keys(signature(s, bands * rows), bands, rows)) if len(s) else [])
-            yield {"doc_id": b["doc_id"], "n": n, "digest": digest, "bands": keys}
+                keys.append(band_keys(signature(s, bands * rows), bands, rows).astype("<u8").tobytes() if len(s) else None)
+            yield {"doc_id": b["doc_id"], "tkey": b["tkey"], "n": n, "digest": digest, "bands": keys}
 
-    return common.in_arrow(docs, run, "doc_id bigint, n bigint, digest binary, bands array<bigint>")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
+    return common.in_arrow(keyed, run, "doc_id bigint, tkey bigint, n bigint, digest binary, bands binary")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``rep, n, items`` for the ids asked for; only their texts are hashed again, and no text is shuffled."""
-    sieve = common.Sieve(ids, common.sieve_slot("rep"))
+def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """``rep, items`` for the nodes asked for; only their texts are hashed again, and no text is shuffled."""
+    asked = wanted.select(F.col("rep").alias("wanted"))
+    ids = classes.join(asked, F.col("node") == F.col("wanted")).select("wanted", F.col("digest").alias("of"), F.col("rep").alias("id"))
+    ids = common.stage(ids, "wanted")
+    sieve = common.Sieve(ids, common.sieve_slot("id"))
 
     def run(batches):
         for b in batches:
             at = np.flatnonzero(sieve.passes(b["slot"].to_numpy()))
             doc_ids, found = b["doc_id"].take(at), b["text"].take(at)
             sets = [np.unique(common.shingles(common.words(t), k)) for t in found.to_pylist()]
-            yield {"rep": doc_ids, "n": [len(s) for s in sets], "items": [common.as_long(s) for s in sets]}
+            yield {"doc_id": doc_ids, "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "items": [common.as_long(s) for s in sets]}
 
     rows = docs.where("doc_id is not null").withColumn("slot", common.sieve_slot("doc_id"))
-    made = common.in_arrow(rows, run, "rep bigint, n bigint, items array<bigint>").where("n > 0")
-    return made.join(ids, "rep", "left_semi")
+    made = common.in_arrow(rows, run, "doc_id bigint, digest binary, items array<bigint>")
+    exact = made.join(ids, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("of"))).select(F.col("wanted").alias("rep"), "items")
+    return exact.dropDuplicates(["rep"])
 
 
-def link(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows with their set's digest, classes ``(digest, rep)``, and components ``(id, comp)`` of linked classes."""
+def link(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4, by_id: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with their set's digest, classes ``(digest, rep, node)``, and components ``(id, comp)`` of linked nodes.
+
+    With ``by_id``, classes that hold rows of one id hang together.
+    """
     common.tune(docs.sparkSession)
     base = common.texts(docs)
     signed = common.stage(signatures(base, k, bands, rows), "signatures")
     known = signed.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    banded = known.join(classes, ["digest"]).where("doc_id = rep").select("rep", "bands")
-    # Rows that share an id but not a text are one document: their classes hang together.
-    twice = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
-    given = known.join(twice, "doc_id", "left_semi").join(classes, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    return signed, classes, connect(banded, lambda ids: _sets(base, ids, k), num, den, given)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, cut=None) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets reach the similarity; sizes are compared before any set moves.
-
-    With ``cut``, which turns a list of texts into sorted sets, ``items`` are texts: far fewer bytes to move.
+    named = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    # An id that is the smallest of several classes names one of them; the others get a name of their own.
+    several = named.groupBy("rep").agg(F.count("*").alias("c"), F.min("digest").alias("one")).where("c > 1").select("rep", "one")
+    node = F.when(F.coalesce(F.col("one") == F.col("digest"), F.lit(True)), F.col("rep")).otherwise(F.xxhash64("digest"))
+    classes = common.stage(named.join(several, "rep", "left").select("digest", "rep", "n", node.alias("node")), "classes")
+    first = classes.select(F.col("digest").alias("of"), F.col("rep").alias("id"), F.col("node").alias("rep"))
+    banded = known.join(first, (F.col("digest") == F.col("of")) & (F.col("doc_id") == F.col("id"))).select(F.array("rep").alias("reps"), F.array("n").alias("ns"), "bands")
+    given = None
+    if by_id:
+        twice = known.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+        of = known.select("doc_id", "digest").join(twice, "doc_id", "left_semi").join(classes, "digest").select("doc_id", "node")
+        given = of.join(of.groupBy("doc_id").agg(F.min("node").alias("low")), "doc_id").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    comps = connect(banded, lambda ids: _sets(base, ids, classes.select("digest", "rep", "node"), k), num, den, given)
+    return signed, classes, comps
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, alike=None) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose full sets reach the similarity.
+
+    With ``alike``, which makes a function that tells of two lists of texts which pairs reach it, ``items`` are texts: far fewer bytes to move.
     """
-    left, right = (sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"i{x}")) for x in "ab")
-    sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b")
-    both = sized.join(left, "a").join(right, "b")
-    if cut is None:
+    left, right = (sets.select(F.col("rep").alias(x), F.col("items").alias(f"i{x}")) for x in "ab")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    if alike is None:
+        na, nb = F.size("ia"), F.size("ib")
         both = both.withColumn("i", F.size(F.array_intersect("ia", "ib")))
-        return both.where(F.col("i") * den >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+        return both.where(F.col("i") * den >= num * (na + nb - F.col("i"))).select("a", "b")
 
     def run(batches):
+        test = alike()
         for b in batches:
-            one, two = (cut(b[x].to_pylist()) for x in ("ia", "ib"))
-            same = np.fromiter((len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two)), np.int64, len(one))
-            union = np.fromiter((len(x) + len(y) for x, y in zip(one, two)), np.int64, len(one)) - same
-            at = np.flatnonzero(same * den >= num * union)
+            at = np.flatnonzero(test(b["ia"].to_pylist(), b["ib"].to_pylist()))
             yield {"a": b["a"].take(at), "b": b["b"].take(at)}
 
     return common.in_arrow(both.select("a", "b", "ia", "ib"), run, "a bigint, b bigint")
@@ -136,33 +152,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, cut=None) -
 def _exploded(sets: DataFrame, cut) -> DataFrame:
     """``rep, c, n, t``: one row an item of a set."""
     if cut is None:
-        return sets.select("rep", "c", "n", F.explode("items").alias("t"))
+        return sets.select("rep", "c", F.size("items").cast("long").alias("n"), F.explode("items").alias("t"))
 
     def run(batches):
         for b in batches:
             found = cut(b["items"].to_pylist())
-            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            yield {x: b[x].take(at) for x in ("rep", "c", "n")} | {"t": common.as_long(np.concatenate(found))}
+            size = np.array([len(x) for x in found], np.int64)
+            at = np.repeat(np.arange(len(found)), size)
+            yield {"rep": b["rep"].take(at), "c": b["c"].take(at), "n": size[at], "t": common.as_long(np.concatenate(found))}
 
-    return common.in_arrow(sets.select("rep", "c", "n", "items"), run, "rep bigint, c bigint, n bigint, t bigint")
+    return common.in_arrow(sets.select("rep", "c", "items"), run, "rep bigint, c bigint, n bigint, t bigint")
 
 
-def _rivals(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(a, b)`` to compare within buckets that their hub left divided, and ``rep, c`` of members that need more.
+def _placed(rows: DataFrame, comps: DataFrame, of: str, name: str) -> DataFrame:
+    """``rows`` with the component of the node ``of`` as column ``name``."""
+    known = comps.select(F.col("id").alias("__node"), F.col("comp").alias("__comp"))
+    return rows.join(known, F.col(of) == F.col("__node"), "left").withColumn(name, F.coalesce("__comp", of)).drop("__node", "__comp")
 
-    ``members`` are ``h, rep, p`` with the hub ``p``, whose pairs are known.  Two further hubs, from
-    different components, meet all others of their bucket: that is every pair of up to three members.
-    """
-    m = members.where("rep <> p").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h", "rep", F.coalesce("comp", "rep").alias("c"))
-    ends = m.groupBy("h").agg(F.min(F.struct("c", "rep")).alias("lo"), F.max(F.struct("c", "rep")).alias("hi")).where("lo.c < hi.c")
-    live = common.stage(m.join(ends, "h"), "live")
-    met = live.select("rep", "c", F.explode(F.array("lo", "hi")).alias("e")).where("c <> e.c")
-    pairs = common.stage(met.select(F.least("rep", "e.rep").alias("a"), F.greatest("rep", "e.rep").alias("b")).distinct(), "pairs")
-    others = live.where("rep <> lo.rep and rep <> hi.rep")
-    apart = others.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
-    left = common.stage(others.join(apart, "h", "left_semi").select("rep", "c").distinct(), "left")
-    common.discard(live)
-    return pairs, left
+
+def _fits(x: str, y: str, num: int, den: int) -> "F.Column":
+    """Whether sets of these sizes can reach the similarity."""
+    return F.expr(f"{den} * least({x}, {y}) >= {num} * greatest({x}, {y})")
+
+
+def _divided(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """``h, rep, n, c, lo, hi`` of buckets whose members beside their hub lie in several components, with two of these to be hubs."""
+    m = _placed(members.where("rep <> p").select("h", "rep", "n"), comps, "rep", "c")
+    ends = m.groupBy("h").agg(F.min(F.struct("c", "rep", "n")).alias("lo"), F.max(F.struct("c", "rep", "n")).alias("hi")).where("lo.c < hi.c")
+    return m.join(ends, "h")
 
 
 def _rest(left: DataFrame, sets: DataFrame, num: int, den: int, cut=None) -> DataFrame:
@@ -175,7 +192,7 @@ def _rest(left: DataFrame, sets: DataFrame, num: int, den: int, cut=None) -> Dat
     sizes its partner may have.  Under each key the rows of its most frequent component are not
     compared with each other.
     """
-    items = _exploded(sets.join(left, "rep"), cut)
+    items = _exploded(left.join(sets, "rep").select("rep", "c", "items"), cut)
     common_items = items.groupBy("t").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t", "f")
     ordered = items.join(common_items, "t").groupBy("rep", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
     placed = ordered.select("rep", "c", "n", F.expr("n - size(s)").alias("u"), F.posexplode("s").alias("e", "x")).select("rep", "c", "n", F.expr("n - u - e").alias("rest"), F.col("x.t").alias("t"))
@@ -205,76 +222,177 @@ def _rest(left: DataFrame, sets: DataFrame, num: int, den: int, cut=None) -> Dat
     return pairs
 
 
+def _bands(b: dict) -> np.ndarray:
+    return np.frombuffer(b"".join(b["bands"].to_pylist()), "<i8")
+
+
+#: Low bits of a key word that tell the members of a bucket apart while the buckets are sought; the others name the bucket.
+_TELL = 12
+
+
+def _shared(banded: DataFrame) -> DataFrame:
+    """``h``: the buckets that have several members.
+
+    Keys travel as arrays, one for each slot and some batches, so that a row is a thousand keys and not one; a
+    task then holds the distinct keys of its slots.  A word is a bucket and some bits of its member, so a member
+    that was posted by several tasks does not make a bucket of its own.
+    """
+    slots = 4 * common.partitions(banded.sparkSession)
+
+    def deal(batches):
+        held, size = [], 0
+
+        def out():
+            w = np.unique(np.concatenate(held))
+            to = (common.mix64((w >> _TELL).view(np.uint64)) % np.uint64(slots)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            ends = np.searchsorted(to[order], np.arange(slots + 1))
+            full = np.flatnonzero(np.diff(ends))
+            return {"slot": full, "keys": [w[order[ends[i] : ends[i + 1]]].tobytes() for i in full]}
+
+        for b in batches:
+            h, reps = _bands(b), b["reps"].flatten().to_numpy()
+            of = np.repeat(reps, len(h) // max(len(reps), 1)).view(np.uint64)
+            tell = common.mix64(of ^ h.view(np.uint64)) >> np.uint64(64 - _TELL)
+            held.append(h >> _TELL << _TELL | tell.view(np.int64))
+            size += len(h)
+            if size > 1_000_000:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    def several(batches):
+        known, held, size = np.empty(0, np.int64), [], 0
+        for b in batches:
+            held += [np.frombuffer(x, "<i8") for x in b["keys"].to_pylist()]
+            size += sum(map(len, held[-len(b["keys"]) :]))
+            if size > max(1_000_000, len(known)):
+                known = np.unique(np.concatenate([known, *held]))
+                held, size = [], 0
+        h = np.unique(np.concatenate([known, *held])) >> _TELL
+        more = np.unique(h[1:][h[1:] == h[:-1]])
+        for at in range(0, len(more), 100_000):
+            yield {"h": more[at : at + 100_000]}
+
+    dealt = common.in_arrow(banded.select("reps", "bands"), deal, "slot bigint, keys binary").repartition(common.partitions(banded.sparkSession), "slot")
+    return common.in_arrow(dealt, several, "h bigint")
+
+
 def _members(banded: DataFrame) -> DataFrame:
-    """``h, rep, size`` for buckets with several members.
+    """``h, rep, n``: the members of buckets that may have several.
 
-    Most buckets have one.  Keys move once, to find the others; those then pass a sieve of fixed size,
-    so that the rest never moves again.
+    Most buckets have one member.  Keys move once, without their members, to find the others; those then pass a
+    sieve of fixed size, so that the rest never moves again.
     """
-    keys = banded.select(F.explode("bands").alias("h"), "rep")
-    shared = keys.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    shared = common.stage(shared.select("h", "size"), "shared")
+    shared = common.stage(_shared(banded), "shared")
     sieve = common.Sieve(shared, common.key_slot("h"))
 
     def run(batches):
         for b in batches:
-            h = b["bands"].flatten().to_numpy()
-            at = np.repeat(np.arange(len(b["rep"])), b["bands"].value_lengths().to_numpy(zero_copy_only=False))
+            h, reps = _bands(b) >> _TELL, b["reps"].flatten().to_numpy()
+            at = np.repeat(np.arange(len(reps)), len(h) // max(len(reps), 1))
             ok = sieve.passes(np.mod(h, 1 << common.SIEVE_LOG))
-            yield {"h": h[ok], "rep": b["rep"].to_numpy()[at[ok]]}
+            yield {"h": h[ok], "rep": reps[at[ok]], "n": b["ns"].flatten().to_numpy()[at[ok]]}
 
-    few = common.in_arrow(banded.where("bands is not null").select("rep", "bands"), run, "h bigint, rep bigint")
-    met = common.stage(few.join(shared, "h").distinct(), "met")
+    few = common.in_arrow(banded, run, "h bigint, rep bigint, n bigint")
+    met = common.stage(few.join(shared, "h", "left_semi").distinct(), "met")
     common.discard(shared)
     return met
 
 
-def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | None = None, cut=None) -> DataFrame:
-    """Components ``(id, comp)`` over ``(rep, bands)`` that share a bucket key and pass the exact test.
+def _order(first: str, then: str) -> "F.Column":
+    """One number that orders by ``first``, and rows equal in it by a hash of ``then``."""
+    return F.least(F.col(first), F.lit(1 << 37)) * F.lit(1 << 25) + F.pmod(F.xxhash64(then), F.lit(1 << 25))
+
+
+def _hubs(met: DataFrame) -> DataFrame:
+    """``h, rep, n, p, pn``: members of buckets of two or more, with the bucket's hub and the size of its set."""
+    sizes = met.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    met = common.stage(met.join(sizes, "h"), "sized")
+    ties = met.groupBy("rep").agg(F.sum("size").alias("ties"))
+    hubs = met.join(ties, "rep").groupBy("h").agg(F.max_by("rep", _order("ties", "rep")).alias("p"), F.max_by("n", _order("ties", "rep")).alias("pn"))
+    members = common.stage(met.join(hubs, "h").select("h", "rep", "n", "p", "pn"), "members")
+    common.discard(met)
+    return members
+
+
+def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | None = None, cut=None, alike=None) -> DataFrame:
+    """Components ``(id, comp)`` over nodes that share a bucket key and pass the exact test.
 
-    ``sets_of(ids)`` gives ``rep, n, items`` for a frame of ``rep``, where ``items`` are a set, or a text that
-    ``cut`` turns into one; ``given`` are links ``(a, b)`` known beforehand.  First each bucket's members are
-    compared with the one that shares the most candidates, since the text that a group was copied from
-    agrees with more of the group than the copies do with each other; then :func:`_rivals` and
-    :func:`_rest` find what may link the components still apart.
+    ``banded`` has rows of some nodes: ``reps``, the sizes of their sets ``ns`` (0 where not known), and ``bands``, their
+    keys one after another.  ``sets_of(ids)`` gives ``rep, items`` for a frame of ``rep``, where ``items`` are a
+    set, or a text that ``cut`` turns into one and ``alike`` compares; ``given`` are links ``(a, b)`` known
+    beforehand.  The text that a group was copied from agrees with more of the group than the copies do with
+    each other, so one good hub joins most of a group, and what it has joined is compared no more.
     """
     spark = banded.sparkSession
     met = _members(banded)
-    links = given if given is not None else spark.createDataFrame([], "a bigint, b bigint")
+    comps = common.components(given if given is not None else spark.range(0).selectExpr("id as a", "id as b"))
     if met.isEmpty():
         common.discard(met)
-        return common.components(links)
-    members = met.select("h", "rep")
-    ties = met.groupBy("rep").agg(F.sum("size").alias("ties"))
-    pivots = met.join(ties, "rep").groupBy("h").agg(F.max(F.struct("ties", (-F.col("rep")).alias("r"))).alias("p")).select("h", (-F.col("p.r")).alias("p"))
-    members = common.stage(members.join(pivots, "h"), "members")
-    pairs = common.stage(members.where("p <> rep").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct(), "pairs")
-    sets = common.stage(sets_of(met.select("rep").distinct()), "sets")
-    found = common.stage(links.select("a", "b").unionByName(_verified(pairs, sets, num, den, cut)), "links")
-    first = common.components(found)
-    common.discard(found, met)
-    more, left = _rivals(members, first)
-    untried = more.join(pairs, ["a", "b"], "left_anti")
-    found = _verified(untried, sets, num, den, cut)
-    if left.isEmpty():
-        found = common.stage(found, "links")
-    else:
+        return comps
+    members = _hubs(met)
+    sets = common.stage(sets_of(members.select("rep").distinct()), "sets")
+    common.discard(met)
+    pairs = members.where("p <> rep").where(_fits("n", "pn", num, den)).groupBy("rep", "p").agg(F.count("*").alias("w"))
+    pairs = common.stage(pairs.select("rep", "p", "w", F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")), "pairs")
+    tried: list[DataFrame] = []
+
+    def settle(which: DataFrame, comps: DataFrame) -> DataFrame:
+        """The components after the pairs ``(a, b)`` that have not been tried are tested."""
+        for t in tried:
+            which = which.join(t, ["a", "b"], "left_anti")
+        now = common.stage(which.select("a", "b").distinct(), "now")
+        tried.append(now)
+        if now.isEmpty():
+            return comps
+        found = common.stage(_verified(now, sets, num, den, alike), "links")
+        out = comps if found.isEmpty() else common.joined_components(comps, found)
+        common.discard(found)
+        return out
+
+    best = F.max_by("p", _order("w", "p")).alias("p")
+    ends = F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")
+    comps = settle(pairs.groupBy("rep").agg(best).select(*ends), comps)
+    apart = _placed(_placed(pairs, comps, "rep", "c"), comps, "p", "cp").where("c <> cp")
+    comps = settle(apart.groupBy("rep", "cp").agg(best).select(*ends), comps)
+    apart = _placed(_placed(pairs, comps, "rep", "c"), comps, "p", "cp").where("c <> cp")
+    live = common.stage(_divided(members, comps), "live")
+    rivals = live.select("rep", "n", "c", F.explode(F.array("lo", "hi")).alias("e")).where("c <> e.c").where(_fits("n", "e.n", num, den))
+    comps = settle(apart.select("a", "b").union(rivals.select(F.least("rep", "e.rep"), F.greatest("rep", "e.rep"))), comps)
+    # Every pair with a bucket's three hubs is known; what is left of it goes on if it still lies apart.
+    others = _placed(live.where("rep <> lo.rep and rep <> hi.rep").select("h", "rep"), comps, "rep", "c")
+    open_ = others.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
+    left = common.stage(others.join(open_, "h", "left_semi").select("rep", "c").distinct(), "left")
+    if not left.isEmpty():
         rest = _rest(left, sets, num, den, cut)
-        found = common.stage(found.unionByName(_verified(rest, sets, num, den, cut)), "links")
+        comps = settle(rest, comps)
         common.discard(rest)
-    common.discard(pairs, more, left, sets, members)
-    if found.isEmpty():
-        common.discard(found)
-        return first
-    # A component is known by one link a member: earlier links need not be walked again.
-    comps = common.components(first.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(found))
-    common.discard(first, found)
+    common.discard(pairs, left, live, sets, members, *tried)
     return comps
 
 
+def _joined(docs: DataFrame, k: int, num: int, den: int, bands: int, rows: int, by_id: bool) -> DataFrame:
+    """``doc_id, tkey, n, node, low, head``: every row with its class, and its component's smallest id and the class of that."""
+    signed, classes, comps = link(docs, k, num, den, bands, rows, by_id)
+    of = classes.select("digest", "rep", "node").join(comps.withColumnRenamed("id", "node"), "node", "left")
+    first = of.where("comp is not null").groupBy("comp").agg(F.min(F.struct("rep", "node")).alias("first"))
+    of = of.join(first, "comp", "left").select("digest", "node", F.coalesce("first.rep", "rep").alias("low"), F.coalesce("first.node", "node").alias("head"))
+    return signed.select("doc_id", "tkey", "n", "digest").join(common.stage(of, "of"), "digest", "left").drop("digest")
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
-    signed, classes, comps = link(docs, k, num, den, bands, rows)
-    out = signed.select("doc_id", "n", "digest").join(classes, "digest", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    comp = F.when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id"))
+    out = _joined(docs, k, num, den, bands, rows, True)
+    comp = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("low")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4) -> DataFrame:
+    """``doc_id, tkey`` (id and hash of the text) of rows that repeat an earlier row, here or in near copy.
+
+    Of each component the class with the smallest id stays, and of that class the rows with that id.
+    """
+    out = _joined(docs, k, num, den, bands, rows, False).where("n > 0 and doc_id is not null")
+    return out.where("doc_id <> low or node <> head").select("doc_id", "tkey").distinct()
