@@ -6,8 +6,9 @@
 4. benchmark decontamination: documents that cover half of an item or more go;
 5. best-fit packing of what is left into sequences of at most 1024 tokens.
 
-All stages but the last return the columns of their input.  Rows with a null id pass stages 2 to 4
-untouched.
+All stages but the last return the columns of their input, whatever other names it has.  Stages 2 to 4 remove
+rows by id and hash of the text, so rows that share an id but not a text are judged each for itself, and rows
+equal in both stay or go together.  Rows with a null id pass these stages untouched.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is not among the ids of ``ids``."""
-    gone = ids.select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows that are not named, by id and hash of the text, in ``gone(doc_id, tkey)``."""
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row")
+    named = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    left = named.join(gone, (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("tkey")), "left_anti")
+    return left.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +44,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(docs, k=5)
-    return _without(docs, common.stage(found.where("not kept").select("doc_id"), "copies"))
+    return _without(docs, common.stage(near_dedup.copies(docs, k=5), "copies"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark"))
-    return _without(docs, common.stage(found.select("doc_id"), "leaks"))
+    found = decontaminate.contaminated_rows(docs, _table(spark, sf_dir, "benchmark"))
+    return _without(docs, common.stage(found.select("doc_id", "tkey"), "leaks"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
