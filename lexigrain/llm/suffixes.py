@@ -12,8 +12,11 @@ windows with one key are fragments of fewer than ``2 * length`` bytes.  Three st
 small: equal texts collapse into the copy with the smallest id; keys that occur in one text
 only are dropped by an aggregation over keys; equal fragments collapse into one with its
 smallest id before the arrays are built, so a passage in a third of all texts costs one fragment.
-Arrays are built for batches of whole key groups, and the smallest id of each interval tells, for
-every occurrence, whether an earlier document has the same bytes.
+Arrays are built for batches of whole key groups, over all suffixes of ``length`` bytes or more up to the end of
+their fragment.  A repeat that is longer than a run of one key is thus found in pieces, one for each run, whose
+windows join without a gap.  The maximal repeats with all their occurrences are what :func:`repeats` returns,
+and what :func:`duplicated_spans` derives the removal from: an occurrence is removed if its repeat also occurs in
+an earlier document.
 
 Edge cases: a null text is empty, empty texts and texts below ``length`` bytes lose nothing; rows
 with a null id take no part and lose nothing; equal rows, and rows that share an id, do not count as
@@ -44,60 +47,79 @@ def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
 
     ``lcp[i]`` is the common prefix of the sorted suffixes ``i`` and ``i + 1``.
     """
-    stack: list[tuple[int, int]] = []
-    values = lcp.tolist()
-    for i, n in enumerate([*values, 0]):
-        left = i
-        while stack and stack[-1][0] > n:
-            size, left = stack.pop()
-            yield size, left, i
-        if n >= least and (not stack or stack[-1][0] < n):
-            stack.append((n, left))
-
-
-def sort_suffixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes ``data[starts:ends]`` (each at most ``depth`` bytes deep) and their common prefixes.
-
-    Suffixes are compared eight bytes at a time, as big-endian numbers filled up with zeros; a
-    shorter one sorts before a longer one that it begins.
+    deep = np.concatenate([[False], lcp >= least, [False]])
+    edge = np.flatnonzero(np.diff(deep.astype(np.int8)))
+    begins, ends = edge[::2], edge[1::2]
+    if not len(begins):
+        return
+    # Stretches below `least` part the tree; stretches of one length are a node each.
+    bounds = np.stack([begins, ends], 1).ravel()
+    padded = np.append(lcp, 0)
+    low, high = np.minimum.reduceat(padded, bounds)[::2], np.maximum.reduceat(padded, bounds)[::2]
+    for first, end, shallow, deepest in zip(begins.tolist(), ends.tolist(), low.tolist(), high.tolist()):
+        if shallow == deepest:
+            yield shallow, first, end
+            continue
+        stack: list[tuple[int, int]] = []
+        for i, n in enumerate([*lcp[first:end].tolist(), 0], first):
+            left = i
+            while stack and stack[-1][0] > n:
+                size, left = stack.pop()
+                yield size, left, i
+            if n >= least and (not stack or stack[-1][0] < n):
+                stack.append((n, left))
+
+
+def sort_suffixes(data: np.ndarray, end: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes that begin at ``starts``, and the common prefixes of neighbours.
+
+    ``end`` holds for every byte where its text ends.  Ranks of 7 bytes (with their number, as a shorter suffix
+    sorts before a longer one that it begins) combine to ranks of 14, 28, ... bytes; going back down the same ranks
+    measures the common prefixes.
     """
-    size = (ends - starts).astype(np.int32)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.empty((-(-depth // 8), len(starts)), np.uint64)
-    for w in range(len(words)):
-        at = np.minimum(starts + 8 * w, len(data)).astype(np.int32)
-        value = np.zeros(len(starts), np.uint64)
-        for j in range(8):
-            byte = np.where(8 * w + j < size, padded[np.minimum(at + j, len(data))], 0)
-            value = value << np.uint64(8) | byte.astype(np.uint64)
-        words[w] = value
-    order = np.lexsort([size, *words[::-1]])
-    size = size[order]
-    lcp = np.minimum(size[1:], size[:-1])
-    for w in range(len(words) - 1, -1, -1):  # the first word that differs has the last say
-        v = words[w][order]
-        x = v[1:] ^ v[:-1]
-        differ = np.flatnonzero(x)
-        # Whole bytes above the highest set bit.
-        high = np.frexp((x[differ] >> np.uint64(11)).astype(np.float64))[1] + 11
-        high = np.where(x[differ] >> np.uint64(11) == 0, np.frexp(x[differ].astype(np.float64))[1], high)
-        lcp[differ] = np.minimum(8 * w + (64 - high) // 8, np.minimum(size[1:], size[:-1])[differ])
-    return order, lcp
-
-
-def sort_windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Like :func:`sort_suffixes` to the depth ``length``, which every suffix has; prefixes below it count as 0."""
-    eight = np.zeros(max(len(data) - 7, 0), np.uint64)
-    for j in range(8):
-        eight = eight << np.uint64(8) | data[j : j + len(eight)]
-    offsets = sorted({*range(0, length - 7, 8), length - 8})  # the last word may overlap the one before
-    words = [eight[starts + o] for o in offsets]
-    order = np.lexsort(words[::-1])
-    same = np.ones(max(len(starts) - 1, 0), bool)
-    for w in words:
-        v = w[order]
-        same &= v[1:] == v[:-1]
-    return order, np.where(same, length, 0)
+    n = len(data)
+    rem = end - np.arange(n)
+    padded = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.uint64)
+    word = np.zeros(n, np.uint64)
+    for j in range(7):
+        word = word << np.uint64(8) | np.where(j < rem, padded[j : j + n], np.uint64(0))
+    word = word << np.uint64(8) | np.minimum(rem, 7).astype(np.uint64)
+    levels, width = [np.unique(word, return_inverse=True)[1].astype(np.int64)], 7
+    deepest = int(rem[starts].max()) if len(starts) else 0
+    while width < deepest:
+        r = levels[-1]
+        after = np.zeros(n, np.int64)
+        at = np.flatnonzero(rem > width)
+        after[at] = r[at + width] + 1
+        levels.append(np.unique(r * (n + 1) + after, return_inverse=True)[1].astype(np.int64))
+        width *= 2
+    order = np.argsort(levels[-1][starts], kind="stable")
+    s = starts[order]
+    a, b = s[:-1].copy(), s[1:].copy()
+    end_a, end_b = end[a], end[b]
+    for r in reversed(levels):
+        open_ = (a < end_a) & (b < end_b)
+        same = open_ & (r[np.minimum(a, n - 1)] == r[np.minimum(b, n - 1)])
+        step = np.where(same, np.minimum(width, end_a - a), 0)
+        a, b, width = a + step, b + step, width // 2
+    # The first words that differ: whole bytes alike, as far as both reach.
+    open_ = (a < end_a) & (b < end_b)
+    differ = np.where(open_, word[np.minimum(a, n - 1)] ^ word[np.minimum(b, n - 1)], np.uint64(0))
+    alike, on = np.zeros(len(a), np.int64), open_.copy()
+    for j in range(7):
+        on &= differ >> np.uint64(56 - 8 * j) == 0
+        alike += on
+    return order, a - s[:-1] + np.minimum(alike, np.where(open_, np.minimum(end_a - a, end_b - b), 0))
+
+
+def maximal_nodes(data: np.ndarray, end: np.ndarray, starts: np.ndarray, before: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes in order, and ``length, first, last`` of the nodes whose occurrences differ in the byte ``before`` them."""
+    order, lcp = sort_suffixes(data, end, starts)
+    nodes = np.array(list(intervals(lcp, least)), np.int64).reshape(-1, 3)
+    left = before[order]
+    changes = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
+    nodes = nodes[changes[nodes[:, 2]] > changes[nodes[:, 1]]] if len(nodes) else nodes
+    return order, nodes[:, 0], nodes[:, 1], nodes[:, 2]
 
 
 def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -106,17 +128,14 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
     size = np.array([len(t) for t in texts], np.int64)
     if not len(data):
         return []
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    first = np.cumsum(size) - size
     text = np.repeat(np.arange(len(texts)), size)
     starts = np.arange(len(data))
-    ends = (first + size)[text]
-    order, lcp = sort_suffixes(data, starts, ends, int(size.max()))
-    before = np.where(starts == first[text], -1 - text, np.concatenate([[-1], data[:-1].astype(np.int64)]))[order]
+    before = np.where(starts == first[text], -1 - text, np.concatenate([[-1], data[:-1].astype(np.int64)]))
+    order, *nodes = maximal_nodes(data, (first + size)[text], starts, before, least)
     out = []
-    for n, a, b in intervals(lcp, least):
-        if len(np.unique(before[a : b + 1])) > 1:
-            at = order[a : b + 1]
-            out.append((n, sorted((int(text[i]), int(i - first[text[i]])) for i in at)))
+    for n, a, b in zip(*(x.tolist() for x in nodes)):
+        out.append((n, sorted((int(text[i]), int(i - first[text[i]])) for i in order[a : b + 1])))
     return sorted(out)
 
 
@@ -166,32 +185,48 @@ def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), first, np.diff(np.append(first, total))
 
 
-def _smallest(rows: list[tuple[int, bytes, int]], length: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """For every fragment ``(key, bytes, smallest id)`` of whole key groups: the smallest id of each window."""
+def _group_repeats(rows: list[tuple[int, bytes, int]], length: int) -> Iterator[dict]:
+    """For every fragment ``(key, bytes, smallest id)`` of whole key groups the maximal repeats in it.
+
+    ``starts, sizes``: where in the fragment; ``names``: hashes of the repeats' bytes; ``lows``: the smallest id that has it.
+    """
     data = np.frombuffer(b"".join(f for _, f, _ in rows), np.uint8)
     size = np.array([len(f) for _, f, _ in rows], np.int64)
     ids = np.array([d for _, _, d in rows], np.int64)
     first = np.cumsum(size) - size
-    count = size - length + 1
-    of = np.repeat(np.arange(len(rows)), count)
-    starts = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of]
-    order, lcp = sort_windows(data, starts, length)
-    low = ids[of]
-    # A node at or below `length` bytes deep whose parent is shallower holds all equal windows.
-    sorted_ids = low[order]
-    for _, a, b in intervals(lcp, length):
-        low[order[a : b + 1]] = sorted_ids[a : b + 1].min()
-    at = 0
-    for (key, f, _), n in zip(rows, count.tolist()):
-        yield key, f, low[at : at + n]
-        at += n
-
-
-def duplicated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
-    """All rows ``(doc_id, tkey, n_bytes, sha256, first)`` and, for texts that are no copies, ``(doc_id, tkey, spans)``.
-
-    ``first`` is the smallest id with the same text; ``spans`` are begins and ends of merged
-    stretches of bytes under windows that an earlier document has too.
+    fragment = np.repeat(np.arange(len(rows)), size)
+    end = (first + size)[fragment]
+    starts = np.flatnonzero(end - np.arange(len(data)) >= length)
+    of = fragment[starts]
+    before = np.where(starts == first[of], -1 - of, data[starts - 1].astype(np.int64))
+    order, n, a, b = maximal_nodes(data, end, starts, before, length)
+    place, low = starts[order], ids[of[order]]
+    if len(n):
+        lows = np.minimum.reduceat(np.append(low, 0), np.stack([a, b + 1], 1).ravel())[::2]
+        each = b - a + 1
+        node = np.repeat(np.arange(len(n)), each)
+        at = place[np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + a[node]]
+        raw = data.tobytes()
+        names = np.array([xxhash.xxh3_64_intdigest(raw[i : i + k]) - (1 << 63) for i, k in zip(place[a].tolist(), n.tolist())], np.int64)
+        at_of = fragment[at]
+        by = np.argsort(at_of, kind="stable")
+        node, at, at_of = node[by], at[by], at_of[by]
+        cuts = np.searchsorted(at_of, np.arange(len(rows) + 1))
+    for i, (key, f, d) in enumerate(rows):
+        # The fragment as a whole repeats if several documents have it.
+        out = {"starts": [0], "sizes": [len(f)], "names": [xxhash.xxh3_64_intdigest(f) - (1 << 63)], "lows": [d]}
+        if len(n) and cuts[i] < cuts[i + 1]:
+            on = slice(cuts[i], cuts[i + 1])
+            k = node[on]
+            out = {"starts": np.append(at[on] - first[i], 0), "sizes": np.append(n[k], len(f)), "names": np.append(names[k], out["names"]), "lows": np.append(lows[k], d)}
+        yield {"key": key, "frag": f} | out
+
+
+def _repeats(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """All rows ``(doc_id, tkey, n_bytes, sha256, first)``, and the repeats in texts that are no copies.
+
+    ``first`` is the smallest id with the same text.  The second frame has a row for each fragment of a text, ``(doc_id,
+    tkey, start, starts, sizes, names, lows)``, with the repeats in it as :func:`_group_repeats` gives them.
     """
     spark = common.tune(docs.sparkSession)
     base = common.texts(docs)
@@ -266,17 +301,16 @@ def duplicated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, Data
     unique = cut.groupBy("key", "frag").agg(F.min("doc_id").alias("low"))
     dealt = unique.repartition(common.partitions(spark), "key").sortWithinPartitions("key")
 
-    def smallest(batches):
+    def solve(batches):
         held: list[tuple[int, bytes, int]] = []
         size = 0
 
         def out(done):
-            got = {"key": [], "frag": [], "lows": [], "least": []}
-            for key, f, low in _smallest(done, length):
-                got["key"].append(key)
-                got["frag"].append(f)
-                got["lows"].append(low)
-                got["least"].append(int(low.min()))
+            got = {n: [] for n in ("key", "frag", "starts", "sizes", "names", "lows", "least")}
+            for r in _group_repeats(done, length):
+                for n, v in r.items():
+                    got[n].append(v)
+                got["least"].append(int(min(r["lows"])))
             return got
 
         for b in batches:
@@ -289,20 +323,39 @@ def duplicated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, Data
         if held:
             yield out(held)
 
-    solved = common.in_arrow(dealt, smallest, "key bigint, frag binary, lows array<bigint>, least bigint").select("key", F.xxhash64("frag").alias("fkey"), "lows", "least")
-    found = cut.select("doc_id", "tkey", "start", "key", F.xxhash64("frag").alias("fkey")).join(solved, ["key", "fkey"]).where("least < doc_id")
+    schema = "key bigint, frag binary, starts array<int>, sizes array<int>, names array<bigint>, lows array<bigint>, least bigint"
+    solved = common.in_arrow(dealt, solve, schema).withColumn("fkey", F.xxhash64("frag")).drop("frag")
+    return facts_of, cut.select("doc_id", "tkey", "start", "key", F.xxhash64("frag").alias("fkey")).join(solved, ["key", "fkey"])
+
+
+def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+    """``repeat, size, doc_id, tkey, start``: every maximal repeat of at least ``length`` bytes (by a hash of its bytes) with all its
+    occurrences, in byte places of texts, texts that are copies of an earlier one left out."""
+    _, found = _repeats(docs, length)
+    each = found.select("doc_id", "tkey", "start", F.explode(F.arrays_zip("starts", "sizes", "names")).alias("x"))
+    rows = common.stage(each.select(F.col("x.names").alias("repeat"), F.col("x.sizes").alias("size"), "doc_id", "tkey", (F.col("start") + F.col("x.starts")).alias("start")).distinct(), "occurrences")
+    several = rows.groupBy("repeat", "size").agg(F.count("*").alias("n")).where("n > 1").select("repeat", "size")
+    return rows.join(several, ["repeat", "size"], "left_semi")
+
+
+def duplicated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
+    """All rows ``(doc_id, tkey, n_bytes, sha256, first)`` and, for texts that are no copies, ``(doc_id, tkey, spans)``.
+
+    ``spans`` are begins and ends of occurrences of repeats that an earlier document has too.
+    """
+    facts_of, found = _repeats(docs, length)
 
     def mark(batches):
         for b in batches:
             spans = []
-            for doc_id, start, low in zip(b["doc_id"].to_pylist(), b["start"].to_pylist(), b["lows"]):
-                on = np.concatenate([[False], low.values.to_numpy() < doc_id, [False]]).astype(np.int8)
-                edge = np.flatnonzero(np.diff(on)) + start
-                edge[1::2] += length - 1
-                spans.append(edge)
+            for doc_id, start, at, size, low in zip(b["doc_id"].to_pylist(), b["start"].to_pylist(), b["starts"], b["sizes"], b["lows"]):
+                on = low.values.to_numpy() < doc_id
+                begin = at.values.to_numpy()[on].astype(np.int64) + start
+                spans.append(np.stack([begin, begin + size.values.to_numpy()[on]], 1).ravel())
             yield {"doc_id": b["doc_id"], "tkey": b["tkey"], "spans": spans}
 
-    marked = common.in_arrow(found, mark, "doc_id bigint, tkey bigint, spans array<bigint>")
+    known = found.where("least < doc_id").select("doc_id", "tkey", "start", "starts", "sizes", "lows")
+    marked = common.in_arrow(known, mark, "doc_id bigint, tkey bigint, spans array<bigint>")
     spans = marked.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return facts_of, common.stage(spans, "spans")
 
