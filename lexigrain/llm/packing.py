@@ -1,17 +1,22 @@
 """Best-fit packing: bin completion with branch and bound over the histogram of piece lengths.
 
 Piece lengths lie between 1 and the capacity, so the multiset of all pieces of any corpus is a
-histogram of at most ``capacity`` numbers, and that is what the search sees.  It takes the
-largest length that is left, enumerates undominated fillings of the rest of its bin depth
-first, longest pieces first, prunes by the waste that a branch can no longer avoid, keeps the
-best fit found so far as the incumbent, and applies the winner to as many bins at once as the
-counts allow.  The result is a short list of bin patterns with multiplicities.  Concrete pieces
-then find their place by rank among the pieces of equal length, a lookup that runs in parallel.
+histogram of at most ``capacity`` numbers, and that is what the search sees.  The first incumbent is the
+whole best-fit solution.  The search then completes one bin after another around the largest length that is
+left: it enumerates the fillings of the rest of the bin depth first, longest pieces first, drops
+dominated ones, applies a filling to as many bins at once as the counts allow, and goes back to other
+undominated fillings when the waste so far leaves no room to beat the incumbent.  A filling is dominated if a piece
+that is left could take the place of some of its pieces with a sum no larger, within the waste: the bin would be
+no worse and smaller pieces would be left for the others.  The search ends
+when the incumbent meets a lower bound (total length, and pairs that cannot share a bin), when nothing is left to try, or
+after ``steps`` bins; :func:`search` tells which, with the bound.  The result is a short list of bin patterns with
+multiplicities.  Concrete pieces then find their place by rank among the pieces of equal length, a lookup
+that runs in parallel.
 
 Edge cases: a null or empty text is one piece holding the end id; only documents longer than the
 capacity are cut, their first piece being the shorter one; repeated rows are packed each; an empty
-table gives no rows; extra columns are ignored.  Search effort per pattern is bounded by ``nodes``,
-after which the incumbent stands.
+table gives no rows; extra columns are ignored.  The effort for one bin is bounded by ``nodes``, after which the best
+filling met, or the best fit, stands.
 """
 
 from __future__ import annotations
@@ -35,56 +40,195 @@ class Pattern:
     times: int
 
 
-def complete(counts: np.ndarray, room: int, nodes: int) -> list[int]:
-    """The best filling of ``room`` from lengths with counts: least waste, then fewest and longest pieces.
+@dataclass
+class Packing:
+    """Patterns, the least number of bins that any packing has, and whether the search ended before its limits."""
+
+    patterns: list[Pattern]
+    bound: int
+    whole: bool
+
+    @property
+    def bins(self) -> int:
+        return sum(p.times for p in self.patterns)
 
-    A filling that replaces a piece by shorter ones of the same sum is dominated (the short ones
-    fit elsewhere whenever the long one does), hence the order: longest first, first found wins.
+
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins: pieces over half the capacity need one each, and what these leave free holds only so much.
+
+    For each ``a`` up to half the capacity: pieces over ``capacity - a`` fill a bin for all pieces of at least ``a``; those
+    down to half share theirs with the smaller ones.
     """
+    n = np.arange(capacity + 1)
+    number, total = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * n)])
+    half = capacity // 2 + 1
+    best = -(-int(total[-1]) // capacity)
+    for a in range(half):
+        alone = int(number[-1] - number[capacity - a + 1])
+        pairs = int(number[capacity - a + 1] - number[half])
+        free = pairs * capacity - int(total[capacity - a + 1] - total[half])
+        small = int(total[half] - total[a])
+        best = max(best, alone + pairs + max(0, -(-(small - free) // capacity)))
+    return best
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
+    """Best fit, longest first, for many equal pieces at once: each goes where it leaves the least room."""
+    rooms: dict[int, list[Pattern]] = {}
+    for n in np.flatnonzero(counts)[::-1].tolist():
+        todo = int(counts[n])
+        for room in sorted(r for r in rooms if r >= n):
+            while todo and rooms.get(room):
+                p = rooms[room].pop()
+                each = room // n
+                full = min(p.times, todo // each)
+                if not full:  # the last bin of this kind takes what is left
+                    full, each = 1, todo
+                if full < p.times:
+                    rooms[room].append(Pattern(p.sizes, p.times - full))
+                rooms.setdefault(room - each * n, []).append(Pattern([*p.sizes, *[n] * each], full))
+                todo -= full * each
+        if each := min(todo, capacity // n):
+            full, rest = divmod(todo, each)
+            rooms.setdefault(capacity - each * n, []).append(Pattern([n] * each, full))
+            if rest:
+                rooms.setdefault(capacity - rest * n, []).append(Pattern([n] * rest, 1))
+    return [p for ps in rooms.values() for p in ps]
+
+
+def _spread(sums: int, waste: int) -> int:
+    """The bits of ``sums``, each moved up by 0 to ``waste`` places."""
+    done = 0
+    while done < waste:
+        step = min(done + 1, waste - done)
+        sums |= sums << step
+        done += step
+    return sums
+
+
+def dominated(sizes: list[tuple[int, int]], waste: int, open_lengths: int) -> bool:
+    """Whether a length in the bit set ``open_lengths`` could take the place of pieces ``(length, times)`` with no larger sum."""
+    # Bit s of `some` and `two`: some pieces, or at least two of them, have the sum s.
+    some, two = 1, 0
+    for n, k in sizes:
+        for _ in range(k):
+            two |= two << n | (some & ~1) << n
+            some |= some << n
+    if waste and _spread(some << 1, waste - 1) & open_lengths:
+        return True
+    return bool(_spread(two, waste) & open_lengths)
+
+
+def fillings(counts: np.ndarray, room: int, most: int, nodes: int, width: int) -> tuple[list[tuple[int, list[int]]], bool]:
+    """Up to ``width`` undominated fillings of ``room`` with the least waste, at most ``most``, as ``(waste, sizes)``; whether all were seen."""
     lengths = np.flatnonzero(counts[: room + 1])[::-1].tolist()
-    if not lengths:
-        return []
+    have = [int(counts[n]) for n in lengths]
     # A sum from place i on can fill at most `tail[i]`.
-    tail = np.cumsum([n * int(counts[n]) for n in lengths][::-1])[::-1].tolist() + [0]
-    best, best_waste, left = [], room, nodes
+    tail = np.cumsum([n * k for n, k in zip(lengths, have)][::-1])[::-1].tolist() + [0]
+    at = {n: i for i, n in enumerate(lengths)}
+    all_open = sum(1 << n for n in lengths)
+    found: list[tuple[int, list[int]]] = []
     # (place, room left, chosen); iterative, a deep filling of ones must not exhaust the stack
     todo = [(0, room, ())]
-    while todo and best_waste and left:
+    while todo and nodes:
         i, free, chosen = todo.pop()
-        left -= 1
-        if free < best_waste:
-            best, best_waste = list(chosen), free
-            if not free:
-                break
+        nodes -= 1
         while i < len(lengths) and lengths[i] > free:
             i += 1
-        if i >= len(lengths) or free - min(free, tail[i]) >= best_waste:
+        if free - min(free, tail[i]) > most:
+            continue
+        if i == len(lengths):
+            closed = sum(1 << n for n, k in chosen if k == have[at[n]])
+            if not dominated(list(chosen), free, all_open & ~closed):
+                found.append((free, [n for n, k in chosen for _ in range(k)]))
+                found.sort(key=lambda x: x[0])
+                del found[width:]
+                if len(found) == width:
+                    most = min(most, found[-1][0] - 1)
+                    if most < 0:
+                        return found, True
             continue
         n = lengths[i]
-        most = min(int(counts[n]), free // n)
-        for k in range(0, most + 1):  # popped last to first: most copies of the longest piece first
-            todo.append((i + 1, free - k * n, chosen + ((n, k),) if k else chosen))
-    return [n for n, k in best for _ in range(k)]
+        for k in range(min(have[i], free // n) + 1):  # popped last to first: most copies of the longest piece first
+            todo.append((i + 1, free - k * n, (*chosen, (n, k)) if k else chosen))
+    return found, not todo
 
 
-def plan(counts: np.ndarray, capacity: int, nodes: int = 4000) -> list[Pattern]:
-    """Patterns that use up ``counts`` (by length, index 0 unused) in few bins."""
-    left = counts.astype(np.int64).copy()
-    out: list[Pattern] = []
-    top = capacity
-    while top:
-        if not left[top]:
-            top -= 1
+def _greedy(left: np.ndarray, room: int) -> list[int]:
+    """The longest pieces that fit, one after another."""
+    sizes, n = [], room
+    while n:
+        n = min(n, room)
+        if k := min(int(left[n]), room // n):
+            sizes += [n] * k
+            room -= n * k
+        n -= 1
+    return sizes
+
+
+def _applied(left: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, int]:
+    """What is left after as many bins of these sizes as there are pieces for, and their number."""
+    uses = {n: sizes.count(n) for n in set(sizes)}
+    times = min(int(left[n]) // k for n, k in uses.items())
+    out = left.copy()
+    for n, k in uses.items():
+        out[n] -= times * k
+    return out, times
+
+
+def search(counts: np.ndarray, capacity: int, nodes: int = 2000, width: int = 3, steps: int = 4000) -> Packing:
+    """Bin completion with branch and bound, from the best-fit incumbent."""
+    counts = counts.astype(np.int64)
+    bound, total = lower_bound(counts, capacity), int((counts * np.arange(capacity + 1)).sum())
+    best, whole = best_fit(counts, capacity), True
+    bins = sum(p.times for p in best)
+
+    def children(left: np.ndarray, waste: int):
+        """Bins around the largest length, least waste first; the first one always, others while they can lead to fewer bins."""
+        nonlocal whole
+        top = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[top] -= 1
+        room = capacity - top
+        some, seen = fillings(rest, room, room, nodes, width)
+        if not seen:
+            whole = False
+            some = some or [(room - sum(g := _greedy(rest, room)), g)]
+        for w, sizes in some:
+            sizes = [top, *sizes]
+            after, times = _applied(left, sizes)
+            yield waste + w * times, Pattern(sizes, times), after
+
+    # The way down to the present node: iterators of children, and the patterns chosen.
+    way, chosen = [children(counts, 0)] if total else [], []
+    first = True
+    while way and bins > bound:
+        nxt = next(way[-1], None)
+        steps -= 1
+        # To beat the incumbent, all bins together may waste no more than this.
+        if nxt is None or not first and nxt[0] > (bins - 1) * capacity - total:
+            way.pop()  # the other children waste no less
+            if chosen:
+                chosen.pop()
             continue
-        left[top] -= 1
-        sizes = [top, *complete(left, capacity - top, nodes)]
-        left[top] += 1
-        uses = {n: sizes.count(n) for n in set(sizes)}
-        times = min(int(left[n]) // k for n, k in uses.items())
-        for n, k in uses.items():
-            left[n] -= times * k
-        out.append(Pattern(sizes, times))
-    return out
+        if steps < 0 and not first:
+            whole = False
+            break
+        waste, pattern, after = nxt
+        chosen.append(pattern)
+        if after.any():
+            way.append(children(after, waste))
+        else:
+            first = False
+            if (n := sum(p.times for p in chosen)) < bins:
+                best, bins = list(chosen), n
+            chosen.pop()
+    return Packing(best, bound, whole or bins == bound)
+
+
+def plan(counts: np.ndarray, capacity: int, **effort: int) -> list[Pattern]:
+    """Patterns that use up ``counts`` (by length, index 0 unused) in few bins."""
+    return search(counts, capacity, **effort).patterns
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
