@@ -22,6 +22,7 @@ manifest; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,7 @@ from . import common
 from .tokens import encoder
 
 _NULL_ID = -(2**63)
+_ENTRY = struct.Struct("<qQQ")
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("ids_before", "<u8")])
 
 
@@ -96,7 +98,7 @@ def read_file(path: str) -> Iterator[tuple[int | None, bytes]]:
 def read_shuffled(path: str, seed: int) -> Iterator[tuple[int | None, bytes]]:
     """The records of one file in a random order, by its index and single reads."""
     with _open(f"{path.removesuffix('.rec')}.idx", "rb") as f:
-        index = np.frombuffer(f.read(), _INDEX)
+        index = np.frombuffer(f.read(), _INDEX)  # 24 bytes a record of one file
     with _open(path, "rb") as f:
         for i in np.random.default_rng(seed).permutation(len(index)):
             yield parse(_take(f, int(index["offset"][i])))
@@ -113,25 +115,26 @@ def write(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int = 1) -
         end = np.array([end_id], "<u4").tobytes()
         ctx = TaskContext.get()
         stem = f"{out_dir}/part-{ctx.partitionId():06d}-{uuid.uuid4().hex}"
-        data, index, at, n, first = None, [], 0, 0, None
+        data, index, at, n, docs_out, first = None, None, 0, 0, 0, None
         for b in batches:
             ids, docs_in = b["doc_id"].to_pylist(), b["text"].to_pylist()
             if data is None:
-                data, first = _open(f"{stem}.rec", "wb"), ids[0]
+                data, index, first = _open(f"{stem}.rec", "wb"), _open(f"{stem}.idx", "wb"), ids[0]
             for doc_id, raw in zip(ids, enc.encode(docs_in)):
                 raw += end
                 record = frame(payload(doc_id, raw, width))
                 data.write(record)
-                index.append((_NULL_ID if doc_id is None else doc_id, at, n))
-                at, n = at + len(record), n + len(raw) // 4
+                index.write(_ENTRY.pack(_NULL_ID if doc_id is None else doc_id, at, n))
+                at, n, docs_out = at + len(record), n + len(raw) // 4, docs_out + 1
         if data is not None:
             data.close()
-            with _open(f"{stem}.idx", "wb") as f:
-                f.write(np.array(index, _INDEX).tobytes())
-            yield {"part": [ctx.partitionId()], "path": [f"{stem}.rec"], "n_docs": [len(index)], "n_ids": [n], "first_id": [first]}
+            index.close()
+            yield {"part": [ctx.partitionId()], "path": [f"{stem}.rec"], "n_docs": [docs_out], "n_ids": [n], "first_id": [first]}
 
     spark = common.tune(docs.sparkSession)
-    ordered = common.texts(docs).repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash lets rows of one id, or without one, fall into several parts.
+    rows = common.texts(docs).withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(common.partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return common.stage(common.in_arrow(ordered, run, "part int, path string, n_docs bigint, n_ids bigint, first_id bigint"), "manifest")
 
 

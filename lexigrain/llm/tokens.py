@@ -89,9 +89,16 @@ class Encoder:
                 at += 1
             if len(self.memory) > _MEMORY:
                 self.memory.clear()
-            self._learn(list(set().union(*(w for _, w in group)).difference(self.memory)))
+            missed = []
             for i, ws in group:
-                out[i] = b"".join(map(self.memory.__getitem__, ws))
+                try:
+                    out[i] = b"".join(map(self.memory.__getitem__, ws))
+                except KeyError:
+                    missed.append((i, ws))
+            if missed:
+                self._learn(list(set().union(*(w for _, w in missed)).difference(self.memory)))
+                for i, ws in missed:
+                    out[i] = b"".join(map(self.memory.__getitem__, ws))
         return out
 
 
