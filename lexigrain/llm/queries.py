@@ -26,7 +26,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.fit(docs)).select("doc_id", (common.fold() == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return langid.identify(docs, langid.fit(docs)).select("doc_id", F.coalesce(common.fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     scored = quality.apply(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (common.fold() == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(common.fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
 def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
