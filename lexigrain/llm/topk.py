@@ -9,8 +9,9 @@ lower bound, or below the k-th best exact score already met by the task, leave,
 the survivors are compacted before the next dimensions are read.  What survives all dimensions
 has its exact score.  Each (block, pack) gives at most k rows a query, and a ranked merge follows.
 
-The query set is stated by the caller and met with all rows in blocks: packs are dealt to the
-blocks by the block's number.  Blocks and packs have bounded sizes, so memory does not depend on
+The query set is stated by the caller and met with all rows in blocks: every part of the rows gets
+all packs, and a pair of block and query whose product of norms is below the query's k-th best score so far is
+skipped.  Blocks and packs have bounded sizes, so memory does not depend on
 the table.
 
 Edge cases: vectors that are null or hold null or non-finite components, and rows with a null id,
@@ -37,16 +38,19 @@ def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Da
     return ok.select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"))
 
 
-def _pack(rows: DataFrame, most: int) -> DataFrame:
-    """Blocks ``ids, dim, m`` of consecutive rows of a partition; ``m`` holds one row a dimension."""
+def _pack(rows: DataFrame, most: int, parts: int) -> DataFrame:
+    """Blocks ``part, dim, ids, m`` of consecutive rows of a partition; ``m`` holds one row a dimension."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() % parts
         held: dict[int, list] = {}
 
         def out(dim: int):
             ids, cols = zip(*held.pop(dim))
             m = np.concatenate(cols).astype("<i8") if dim else np.zeros((len(ids), 0), "<i8")
-            return {"dim": [dim], "ids": [np.concatenate(ids).astype("<i8").tobytes()], "m": [np.ascontiguousarray(m.T).tobytes()], "n": [sum(map(len, ids))]}
+            return {"part": [part], "dim": [dim], "ids": [np.concatenate(ids).astype("<i8").tobytes()], "m": [np.ascontiguousarray(m.T).tobytes()]}
 
         sizes: dict[int, int] = {}
         last = None
@@ -66,7 +70,7 @@ def _pack(rows: DataFrame, most: int) -> DataFrame:
         for dim in list(held):
             yield out(dim)
 
-    return common.in_arrow(rows, run, "dim int, ids binary, m binary, n int")
+    return common.in_arrow(rows, run, "part int, dim int, ids binary, m binary")
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, step: int, floor: dict[int, int]) -> list[tuple[int, int, int]]:
@@ -79,8 +83,10 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     rest_x = [np.sqrt((xf[c:] ** 2).sum(axis=0)) for c in cuts]
     rest_q = [np.sqrt((qf[c:] ** 2).sum(axis=0)) for c in cuts]
     first = qf[: cuts[min(1, len(cuts) - 1)]].T @ xf[: cuts[min(1, len(cuts) - 1)]]
-    out = []
+    out, most = [], rest_x[0].max(initial=0.0)
     for j, query in enumerate(query_ids.tolist()):
+        if (bound := most * rest_q[0][j]) + 1e-9 * bound + 1e-6 < floor.get(query, -np.inf):
+            continue
         at = np.flatnonzero(ids != query)
         score = first[j][at]
         for c in range(1, len(cuts)):
@@ -110,16 +116,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     total = vectors.count()
     block = max(1024, min(32768, total // (2 * parts)))
     dealt = rows.repartition(parts, "vec_id").sortWithinPartitions("vec_id", "v")
-    blocks = common.stage(_pack(dealt, block), "blocks")
-    keyed = blocks.select("dim", F.xxhash64("ids").alias("slot"))
-    packs = common.stage(_pack(dealt.where(queries), pack), "packs")
-    slots = [(r.dim, r.slot) for r in keyed.toLocalIterator()]  # one short row for each block
-    by_dim = {d: [s for e, s in slots if e == d] for d in {d for d, _ in slots}}
-    if not by_dim:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    of = F.create_map(*[y for d, s in by_dim.items() for y in (F.lit(d), F.array(*map(F.lit, s)))])
-    sent = packs.select(F.explode(of[F.col("dim")]).alias("slot"), F.col("ids").alias("qids"), F.col("m").alias("qm"))
-    met = blocks.withColumn("slot", F.xxhash64("ids")).join(sent, "slot")
+    blocks = common.stage(_pack(dealt, block, parts), "blocks")
+    packs = common.stage(_pack(dealt.where(queries), pack, parts), "packs")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    met = blocks.join(packs.select(every, "dim", F.col("ids").alias("qids"), F.col("m").alias("qm")), ["part", "dim"])
 
     def run(batches):
         floor: dict[int, int] = {}
