@@ -35,7 +35,7 @@ from . import common
 from .tokens import encoder
 
 _NULL_ID = -(2**63)
-_ENTRY = struct.Struct("<qQQ")
+_ENTRY = "<qQQ"
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("ids_before", "<u8")])
 
 
@@ -124,7 +124,7 @@ def write(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int = 1) -
                 raw += end
                 record = frame(payload(doc_id, raw, width))
                 data.write(record)
-                index.write(_ENTRY.pack(_NULL_ID if doc_id is None else doc_id, at, n))
+                index.write(struct.pack(_ENTRY, _NULL_ID if doc_id is None else doc_id, at, n))
                 at, n, docs_out = at + len(record), n + len(raw) // 4, docs_out + 1
         if data is not None:
             data.close()
