@@ -119,7 +119,7 @@ def nodes(files: DataFrame) -> DataFrame:
 
 
 def metrics(files: DataFrame) -> DataFrame:
-    """One row of document metrics for every file, all-zero for an empty one."""
+    """Counts, content units and cognitive load of every file, all-zero for an empty one; the scores are in ``operators.documents``."""
     n = nodes(files)
     k = F.col("kind")
     size = F.col("end_line") - F.col("start_line") + 1
@@ -142,8 +142,5 @@ def metrics(files: DataFrame) -> DataFrame:
     j = files.select("path").join(per, "path", "left").join(jump, "path", "left")
     j = j.select("path", *[F.coalesce(c, F.lit(0)).alias(c) for c in j.columns if c != "path"])
     ecu = F.col("words") / 240 + 0.35 * F.col("cloc") + 0.06 * F.col("cells") + 0.40 * F.col("diagram_nodes") + 0.25 * F.col("diagram_edges") + 0.12 * F.col("mloc") + 0.20 * F.col("html_lines")
-    debt = expr.clamp01(0.25 * expr.ratio("unlabelled", "fences") + 0.15 * (F.col("max_cells") > 300).cast("double") + 0.15 * expr.sat(expr.ratio("html_lines", "dloc"), 0.02, 0.25))
-    balance = F.when(F.col("headings") == 0, 1.0).otherwise(expr.section_balance(F.col("words") / F.greatest(F.lit(1), F.col("headings")), F.lit(0.0), F.lit(0.0), F.col("skips") / F.greatest(F.lit(1), F.col("headings")), "depth"))
-    j = j.select("*", F.round(ecu, 6).alias("content_units"), F.round(F.col("load") + F.col("heading_load"), 6).alias("cognitive_complexity"), F.round(debt, 6).alias("artifact_debt"), F.round(balance, 6).alias("section_balance"))
-    dmi = expr.documentation_index("words", "cognitive_complexity", F.lit(0.0), F.lit(0.0), F.lit(0.0), "artifact_debt", 1 - F.col("section_balance"), F.lit(0.0), F.lit(0.0))
-    return j.drop("load", "heading_load").select("*", F.round(F.col("cloc") / F.greatest(F.col("dloc"), F.lit(1)), 6).alias("code_line_ratio"), F.round(dmi, 4).alias("documentation_index"))
+    j = j.select("*", F.round(ecu, 6).alias("content_units"), F.round(F.col("load") + F.col("heading_load"), 6).alias("cognitive_complexity"))
+    return j.drop("load", "heading_load").select("*", F.round(F.col("cloc") / F.greatest(F.col("dloc"), F.lit(1)), 6).alias("code_line_ratio"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr, vocab
 from ..operators import code, corpus, lines, links, markdown, prose
+from . import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -379,3 +380,7 @@ def code_spaces(spark, d):
 @query()
 def markdown_metrics(spark, d):
     return markdown.metrics(spark.createDataFrame(_MD, "path string, text string"))
+
+
+QUERIES |= documents.QUERIES
+ORACLE_SQL |= documents.ORACLE_SQL
