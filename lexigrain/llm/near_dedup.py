@@ -149,19 +149,93 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, alike=None)
     return common.in_arrow(both.select("a", "b", "ia", "ib"), run, "a bigint, b bigint")
 
 
-def _exploded(sets: DataFrame, cut) -> DataFrame:
-    """``rep, c, n, t``: one row an item of a set."""
-    if cut is None:
-        return sets.select("rep", "c", F.size("items").cast("long").alias("n"), F.explode("items").alias("t"))
+#: Slots of the table that orders items: its size is fixed (4 MB), whatever the number of items.
+_ORDER_LOG, _CHUNK_LOG = 20, 14
 
-    def run(batches):
+
+def _item_order(rows: DataFrame, cut) -> np.ndarray:
+    """For every slot of items 0 if its items occur in one component only, else how often they occur.
+
+    Any order that all rows share serves the prefix filter, so items may share a slot.
+    """
+    mask, low = np.uint64((1 << _ORDER_LOG) - 1), (1 << _CHUNK_LOG) - 1
+
+    def count(batches):
+        n = np.zeros(1 << _ORDER_LOG, np.int64)
+        lo, hi = np.full(1 << _ORDER_LOG, 2**63 - 1), np.full(1 << _ORDER_LOG, -(2**63))
+        for b in batches:
+            for c, t in zip(b["c"].to_pylist(), _items(b, cut)):
+                at = (t & mask).astype(np.int64)
+                np.add.at(n, at, 1)
+                lo[at], hi[at] = np.minimum(lo[at], c), np.maximum(hi[at], c)
+        full = np.flatnonzero(n)
+        ends = np.searchsorted(full >> _CHUNK_LOG, np.arange((1 << (_ORDER_LOG - _CHUNK_LOG)) + 1))
+        for i, (x, y) in enumerate(zip(ends[:-1], ends[1:])):
+            if x < y:
+                at = full[x:y]
+                yield {"chunk": [i], "slots": [at & low], "n": [n[at]], "lo": [lo[at]], "hi": [hi[at]]}
+
+    def merge(batches):
+        held: dict[int, tuple] = {}
         for b in batches:
-            found = cut(b["items"].to_pylist())
-            size = np.array([len(x) for x in found], np.int64)
-            at = np.repeat(np.arange(len(found)), size)
-            yield {"rep": b["rep"].take(at), "c": b["c"].take(at), "n": size[at], "t": common.as_long(np.concatenate(found))}
+            for i, chunk in enumerate(b["chunk"].to_pylist()):
+                at, n, lo, hi = (b[x][i].values.to_numpy() for x in ("slots", "n", "lo", "hi"))
+                a = held.setdefault(chunk, (np.zeros(low + 1, np.int64), np.full(low + 1, 2**63 - 1), np.full(low + 1, -(2**63))))
+                a[0][at] += n
+                a[1][at], a[2][at] = np.minimum(a[1][at], lo), np.maximum(a[2][at], hi)
+        for chunk, (n, lo, hi) in held.items():
+            yield {"chunk": [chunk], "rank": [np.where(lo < hi, np.minimum(n, 2**31 - 1), 0).astype("<i4").tobytes()]}
+
+    spark = rows.sparkSession
+    parts = common.in_arrow(rows, count, "chunk bigint, slots array<bigint>, n array<bigint>, lo array<bigint>, hi array<bigint>")
+    whole = common.in_arrow(parts.repartition(common.partitions(spark), "chunk"), merge, "chunk bigint, rank binary")
+    order = np.zeros(1 << _ORDER_LOG, np.int32)
+    for r in whole.toLocalIterator():  # 64 rows of 64 KB
+        order[r.chunk << _CHUNK_LOG : (r.chunk + 1) << _CHUNK_LOG] = np.frombuffer(bytes(r.rank), "<i4")
+    return order
+
 
-    return common.in_arrow(sets.select("rep", "c", "items"), run, "rep bigint, c bigint, n bigint, t bigint")
+def _items(b: dict, cut) -> list[np.ndarray]:
+    if cut is not None:
+        return cut(b["items"].to_pylist())
+    return [x.values.to_numpy().view(np.uint64) for x in b["items"]]
+
+
+def _posts(rows: DataFrame, order: np.ndarray, num: int, den: int, cut) -> DataFrame:
+    """``rep, c, n, rest, t, small, k``: the items under which a set must be sought, and the class of sizes there.
+
+    ``n`` is the size of the set, ``rest`` how many of its items may still be shared from ``t`` on.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(order)
+    mask = np.uint64((1 << _ORDER_LOG) - 1)
+
+    def size_class(n: np.ndarray) -> np.ndarray:
+        return np.floor(np.log(np.maximum(n, 1)) / np.log(1.06)).astype(np.int64)
+
+    def run(batches):
+        for b in batches:
+            out: dict[str, list] = {x: [] for x in ("rep", "c", "n", "rest", "t", "small", "k")}
+            for rep, c, t in zip(b["rep"].to_pylist(), b["c"].to_pylist(), _items(b, cut)):
+                n = len(t)
+                often = held.value[(t & mask).astype(np.int64)]
+                some = np.flatnonzero(often)
+                # Items of one component come first in the order and are shared with no other.
+                rest = len(some) - np.arange(len(some))
+                some = some[np.lexsort((t[some], often[some]))]
+                ahead = rest * den >= num * n
+                rest, some = rest[ahead], some[ahead]
+                least = int(size_class(np.array([-(-num * n // den)]))[0])
+                most = np.maximum(size_class(np.minimum(n, rest * (num + den) // num - n)), least)
+                short = rest * (num + den) >= 2 * num * n
+                each = most - least + 1
+                at = np.concatenate([np.flatnonzero(short), np.repeat(np.arange(len(rest)), each)])
+                k = np.concatenate([np.repeat(size_class(np.array([n])), short.sum()), np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + least])
+                small = np.arange(len(at)) < short.sum()
+                for x, v in (("rep", np.full(len(at), rep)), ("c", np.full(len(at), c)), ("n", np.full(len(at), n)), ("rest", rest[at]), ("t", common.as_long(t[some[at]])), ("small", small), ("k", k)):
+                    out[x].append(v)
+            yield {x: np.concatenate(v) for x, v in out.items()}
+
+    return common.in_arrow(rows, run, "rep bigint, c bigint, n bigint, rest bigint, t bigint, small boolean, k bigint")
 
 
 def _placed(rows: DataFrame, comps: DataFrame, of: str, name: str) -> DataFrame:
@@ -186,26 +260,15 @@ def _rest(left: DataFrame, sets: DataFrame, num: int, den: int, cut=None) -> Dat
     """Pairs ``(a, b)`` that may still link two components, for members ``rep, c`` of buckets that stay divided.
 
     An exact filter, so no bucket is compared pair by pair.  Items are put into one order: first those
-    that occur in a single component, then by rising frequency.  If two sets are similar enough, their
+    that occur in a single component, then roughly by rising frequency.  If two sets are similar enough, their
     first common item stands near the beginning of both: what follows it must hold the overlap.  The
     smaller set therefore offers a short prefix, the larger one a longer prefix for every class of
     sizes its partner may have.  Under each key the rows of its most frequent component are not
     compared with each other.
     """
-    items = _exploded(left.join(sets, "rep").select("rep", "c", "items"), cut)
-    common_items = items.groupBy("t").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t", "f")
-    ordered = items.join(common_items, "t").groupBy("rep", "c", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
-    placed = ordered.select("rep", "c", "n", F.expr("n - size(s)").alias("u"), F.posexplode("s").alias("e", "x")).select("rep", "c", "n", F.expr("n - u - e").alias("rest"), F.col("x.t").alias("t"))
-
-    def size_class(n: str) -> str:
-        return f"cast(floor(ln({n}) / ln(1.06)) as int)"
-
-    ahead = placed.where(f"rest * {den} >= {num} * n")
-    partner = f"least(n, floor(rest * {num + den} / {num}) - n)"
-    smaller = F.when(F.expr(f"rest * {num + den} >= {2 * num} * n"), F.array(F.struct(F.lit(True).alias("small"), F.expr(size_class("n")).alias("k"))))
-    larger = F.transform(F.expr(f"sequence({size_class(f'ceil({num} * n / {den})')}, greatest({size_class(partner)}, {size_class(f'ceil({num} * n / {den})')}))"), lambda k: F.struct(F.lit(False).alias("small"), k.alias("k")))
-    posts = ahead.withColumn("o", F.explode(F.concat(F.coalesce(smaller, F.expr("array()").cast("array<struct<small:boolean,k:int>>")), larger))).select("rep", "c", "n", "rest", "t", "o.small", "o.k")
-    posts = common.stage(posts, "posts")
+    held = common.stage(left.join(sets, "rep").select("rep", "c", "items"), "held")
+    posts = common.stage(_posts(held, _item_order(held, cut), num, den, cut), "posts")
+    common.discard(held)
     per = posts.groupBy("t", "k", "c").agg(F.count("*").alias("f"), F.max("small").alias("any"), F.min("small").alias("all"))
     tops = per.groupBy("t", "k").agg(F.max_by("c", "f").alias("top"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("any").alias("any"), F.min("all").alias("all")).where("lo < hi and any and not all")
     rows = posts.join(tops.select("t", "k", "top"), ["t", "k"]).withColumn("top", F.col("c") == F.col("top"))
