@@ -8,9 +8,11 @@ by its own ``ast`` and ``tokenize``; brace languages by a table-driven lexer.
 from __future__ import annotations
 
 import ast
+import bisect
 import io
 import re
 import tokenize
+from itertools import accumulate
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +27,7 @@ EXTENSIONS = {
     "py": "python", "pyi": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "mjs": "javascript", "cjs": "javascript", "php": "php", "rb": "ruby", "rs": "rust", "go": "go",
     "c": "c", "h": "c", "kt": "kotlin", "kts": "kotlin", "ps1": "powershell", "psm1": "powershell", "md": "markdown", "markdown": "markdown",
 }
-COUNTS = ("decisions", "cognitive", "exits", "assignments", "branches", "conditions", "args", "attributes", "public_attributes", "methods", "public_methods", "n1", "n2", "t1", "t2", "sloc", "ploc", "lloc", "cloc")
+COUNTS = ("decisions", "cognitive", "exits", "assignments", "branches", "conditions", "args", "attributes", "public_attributes", "methods", "public_methods", "n1", "n2", "t1", "t2", "sloc", "ploc", "blank", "lloc", "cloc")
 SCHEMA = "path string, language string, space_id int, parent_id int, depth int, kind string, name string, start_line int, end_line int, error string, " + ", ".join(f"{c} int" for c in COUNTS)
 
 
@@ -44,7 +46,7 @@ class _Space:
 
     def row(self) -> tuple:
         self.n |= {"n1": len(set(self.ops)), "n2": len(set(self.operands)), "t1": len(self.ops), "t2": len(self.operands)}
-        return (*self.head, *[self.n[c] for c in COUNTS])
+        return (*self.head, *[self.n[c] for c in COUNTS], sorted(set(self.ops)), sorted(set(self.operands)))
 
 
 # ------------------------------------------------------------------ Python
@@ -165,14 +167,14 @@ def _python_tokens(text: str, rows: list[_Space]) -> None:
     for n in ast.walk(ast.parse(text)):
         if isinstance(n, (ast.Module, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and n.body and isinstance(n.body[0], ast.Expr) and isinstance(n.body[0].value, ast.Constant) and isinstance(n.body[0].value.value, str):
             docs.add((n.body[0].lineno, n.body[0].col_offset))
-    code, comments = set(), set()
+    code, comments, owner = set(), set(), _owners(rows)
     for t in tokenize.generate_tokens(io.StringIO(text).readline):
         lines = range(t.start[0], t.end[0] + 1)
         if t.type == tokenize.COMMENT or t.type == tokenize.STRING and t.start in docs:
             comments.update(lines)
         elif t.type in (tokenize.OP, tokenize.NAME, tokenize.NUMBER, tokenize.STRING):
             code.update(lines)
-            s = _innermost(rows, t.start[0])
+            s = owner[t.start[0]] if t.start[0] < len(owner) else rows[0]
             import keyword
 
             if t.type == tokenize.OP and t.string not in ")]}" or t.type == tokenize.NAME and keyword.iskeyword(t.string) and t.string not in ("True", "False", "None"):
@@ -182,15 +184,20 @@ def _python_tokens(text: str, rows: list[_Space]) -> None:
     _fill_lines(rows, code, comments)
 
 
-def _innermost(rows: list[_Space], line: int) -> _Space:
-    return next(s for s in reversed(rows) if s.head[5] <= line <= s.head[6] or s.head[0] == 0)
+def _owners(rows: list[_Space]) -> list[_Space]:
+    """The innermost space of every line; spaces come outer ones first."""
+    out = [rows[0]] * (max(s.head[6] for s in rows) + 1)
+    for s in rows:
+        out[s.head[5] : s.head[6] + 1] = [s] * (s.head[6] + 1 - s.head[5])
+    return out
 
 
 def _fill_lines(rows: list[_Space], code: set[int], comments: set[int]) -> None:
+    last = max(s.head[6] for s in rows)
+    of = {n: [0, *accumulate(test(i) for i in range(1, last + 1))] for n, test in (("ploc", code.__contains__), ("cloc", comments.__contains__), ("blank", lambda i: i not in code and i not in comments))}
     for s in rows:
-        span = range(s.head[5], s.head[6] + 1)
-        s.n["ploc"] = sum(i in code for i in span)
-        s.n["cloc"] = sum(i in comments for i in span)
+        for n, sums in of.items():
+            s.n[n] = sums[s.head[6]] - sums[max(0, s.head[5] - 1)]
 
 
 # ------------------------------------------------------------------ brace languages
@@ -210,6 +217,43 @@ _TOKEN = re.compile(r"(?P<comment>//[^\n]*|/\*.*?\*/|(?<![\w$])#(?![\[!{])[^\n]*
 _HASH = {"php", "ruby", "powershell"}
 
 
+def _ruby_marks(toks: list[tuple[int, str, str]], starts: list[int]) -> list[tuple[int, str, str]]:
+    """Ruby's blocks as braces (of kind ``mark``, which count for nothing else): after the line of what opens one, and at ``end``."""
+    out: list[tuple[int, str, str]] = []
+    line, head, loop = -1, False, False
+    for i, (at, kind, t) in enumerate(toks):
+        here = bisect.bisect_left(starts, at)
+        if here != line:
+            out += [(at, "mark", "{")] * head
+            line, head, loop = here, False, False
+            first = True
+        before = toks[i - 1][2] if i and not first else ""
+        if kind == "name" and t == "end" and before != ".":
+            out += [(at, "mark", "{")] * head
+            head = False
+            out.append((at, "mark", "}"))
+        out.append((at, kind, t))
+        if kind == "name" and before != ".":
+            # A condition after a statement opens nothing.
+            opens = t in ("def", "class", "module", "begin", "case") or t in ("if", "unless", "while", "until", "for") and (first or before in ("=", "(", ",", "{", "return"))
+            head = head or opens and not (t == "class" and before == "<<")
+            loop = loop or opens and t in ("while", "until", "for")
+            if t == "do" and not loop:
+                out.append((at, "mark", "{"))
+        first = False
+    return out + [(toks[-1][0], "mark", "{")] * head if toks else out
+
+
+def _closing(toks: list[tuple[int, str, str]], opened: int) -> int:
+    """The place of the bracket that ends the one at ``opened``."""
+    level = 0
+    for i in range(opened, len(toks)):
+        level += (toks[i][2] == "(") - (toks[i][2] == ")")
+        if level == 0:
+            return i
+    return len(toks) - 1
+
+
 def _braces(text: str, lang: str) -> tuple[list[_Space], str | None]:
     rule, keywords = _RULES[lang], set(_RULES[lang]["kw"].split())
     n_lines = max(1, text.count("\n") + (not text.endswith("\n")))
@@ -224,8 +268,9 @@ def _braces(text: str, lang: str) -> tuple[list[_Space], str | None]:
             continue
         toks.append((m.start(), m.lastgroup, m[0]))
     starts = [i for i, c in enumerate(text) if c == "\n"]
-    import bisect
-
+    if lang == "ruby":
+        toks = _ruby_marks(toks, starts)
+    script = _RULES[lang] is _RULES["javascript"]
     # Keywords whose block has not opened, each as the round brackets and braces around it.
     waiting, paren = [], 0
     bare = lang in ("go", "rust")  # conditions need no brackets
@@ -245,18 +290,35 @@ def _braces(text: str, lang: str) -> tuple[list[_Space], str | None]:
         space = stack[-1][0]
         n = space.n
         nxt = toks[i + 1][2] if i + 1 < len(toks) else ""
-        if kind == "name" and is_fn and is_fn.fullmatch(t) or lang == "c" and t == "{" and depth == 0 and i and toks[i - 1][2] == ")":
+        if lang == "go" and t == "func" and nxt == "(":
+            # A method's receiver stands before its name; a literal has none.
+            close = _closing(toks, i + 1)
+            named = close + 1 < len(toks) and toks[close + 1][1] == "name" and close + 2 < len(toks) and toks[close + 2][2] == "("
+            pending = ("function", toks[close + 1][2], line, close + 1) if named else ("closure", None, line, i)
+        elif script and t == "=>":
+            first = _opening(toks, i - 1) if toks[i - 1][2] == ")" else i - 1
+            pending = ("closure", None, line, first)
+            if nxt != "{":  # an expression: its tokens stay with the space around it
+                s = _Space(len(rows), space.head[0], len(stack), "closure", None, line, line)
+                s.n["args"], s.n["sloc"] = _arrow_args(toks, first, i), 1
+                rows.append(s)
+                pending = None
+        elif script and kind == "name" and nxt == "(" and len(stack) > 1 and space.head[3] == "class" and depth == stack[-1][1] and after(_closing(toks, i + 1)) == "{" and t not in ("if", "for", "while", "switch", "catch", "function"):
+            pending = ("function", t, line, i)
+        elif lang == "powershell" and t.lower() == "param" and nxt == "(" and space.head[3] == "function":
+            space.n["args"] = _args([x[2] for x in toks[i : _closing(toks, i + 1) + 1] if x[1] != "comment"])
+        elif kind == "name" and is_fn and is_fn.fullmatch(t) or lang == "c" and t == "{" and depth == 0 and i and toks[i - 1][2] == ")":
             pending = ("function", nxt if lang != "c" else None, line, i)
-        elif kind == "name" and t in ("class", "interface", "trait", "impl", "object") and t in keywords:
-            pending = (t if t != "object" else "class", nxt, line, i)
-        if kind == "op" and t == "{":
+        elif kind == "name" and t in ("class", "interface", "trait", "impl", "object", "module") and t in keywords:
+            pending = (t if t not in ("object", "module") else "class", nxt, line, i)
+        if kind in ("op", "mark") and t == "{":
             depth += 1
             if pending:
                 what, name, start, from_tok = pending
                 s = _Space(len(rows), space.head[0], len(stack), what, name, start, start)
                 first = from_tok if lang != "c" or what != "function" else _opening(toks, i - 1)
                 head = [x[2] for x in toks[first:i] if x[1] != "comment"]
-                s.n["args"] = _args(head)
+                s.n["args"] = _arrow_args(toks, first, i - 1) if script and what == "closure" else _bare_args(head) if lang == "ruby" and what == "function" and "(" not in head else _args(head)
                 if what == "function" and space.head[3] in ("class", "interface", "trait", "impl"):
                     hidden = {"private", "protected"} & {x[2] for x in toks[max(0, from_tok - 3) : from_tok]}
                     n["methods"] += 1
@@ -269,7 +331,7 @@ def _braces(text: str, lang: str) -> tuple[list[_Space], str | None]:
                 while waiting and waiting[-1] == (paren, depth - 1):
                     waiting.pop()
                     nest.append((depth, "block"))
-        elif kind == "op" and t == "}":
+        elif kind in ("op", "mark") and t == "}":
             while nest and nest[-1][0] == depth:
                 nest.pop()
             while waiting and waiting[-1][1] >= depth:
@@ -319,6 +381,8 @@ def _braces(text: str, lang: str) -> tuple[list[_Space], str | None]:
             n["branches"] += 1
         if t == ";" or t in rule["exit"] and nxt not in (";",):
             n["lloc"] += 1
+        if kind == "mark":
+            continue
         if kind == "op" and t not in ")]}" or kind == "name" and t in keywords:
             space.ops.append(t)
         else:
@@ -338,6 +402,16 @@ def _opening(toks: list[tuple[int, str, str]], close: int) -> int:
     return 0
 
 
+def _arrow_args(toks: list[tuple[int, str, str]], first: int, arrow: int) -> int:
+    """Arguments of an arrow function: in brackets, or one name."""
+    return _args([x[2] for x in toks[first:arrow] if x[1] != "comment"]) if toks[first][2] == "(" else 1
+
+
+def _bare_args(head: list[str]) -> int:
+    """Arguments that follow a name without brackets."""
+    return 1 + head[2:].count(",") if len(head) > 2 else 0
+
+
 def _args(head: list[str]) -> int:
     if "(" not in head:
         return 0
@@ -373,8 +447,13 @@ def analyze(path: str, text: str, lang: str) -> list[tuple]:
 
 def spaces(files: DataFrame) -> DataFrame:
     """All spaces of the files ``(path, text)`` whose language is known; others are dropped before parsing."""
+    return _spaces(files).drop("op_set", "operand_set")
+
+
+def _spaces(files: DataFrame) -> DataFrame:
     ship(files.sparkSession)
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    schema = SCHEMA + ", op_set array<string>, operand_set array<string>"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -384,20 +463,22 @@ def spaces(files: DataFrame) -> DataFrame:
             yield out
 
     known = files.select("path", "text", language("path").alias("language")).where("language is not null and language <> 'markdown'")
-    return known.mapInPandas(run, SCHEMA)
+    return known.mapInPandas(run, schema)
 
 
 def metrics(files: DataFrame) -> DataFrame:
     """One row of metrics for every file, rolled up from its spaces."""
-    s = spaces(files)
+    s = _spaces(files)
     fn, cl = F.col("kind") == "function", F.col("kind") == "closure"
     cyclo = F.col("decisions") + 1
-    total = {c: F.sum(c).alias(c) for c in ("cognitive", "exits", "assignments", "branches", "conditions", "lloc", "n1", "n2", "t1", "t2", "methods", "public_methods", "attributes", "public_attributes")}
+    total = {c: F.sum(c).alias(c) for c in ("cognitive", "exits", "assignments", "branches", "conditions", "lloc", "t1", "t2", "methods", "public_methods", "attributes", "public_attributes")}
     unit = lambda c: F.max(F.when(F.col("space_id") == 0, F.col(c)))
     per = s.groupBy("path", "language").agg(
         *total.values(), F.first("error").alias("error"), F.count("*").alias("spaces"), F.sum(fn.cast("long")).alias("functions"), F.sum(cl.cast("long")).alias("closures"),
         F.sum(cyclo).alias("cyclomatic_sum"), F.max(cyclo).alias("cyclomatic_max"), F.min(cyclo).alias("cyclomatic_min"), F.sum(F.when(fn | cl, F.col("args")).otherwise(0)).alias("nargs"),
-        unit("sloc").alias("sloc"), unit("ploc").alias("ploc"), unit("cloc").alias("cloc"),
+        unit("sloc").alias("sloc"), unit("ploc").alias("ploc"), unit("cloc").alias("cloc"), unit("blank").alias("blank"),
+        # A file's vocabulary is the union of those of its spaces.
+        *[F.size(F.array_distinct(F.flatten(F.collect_list(c)))).alias(n) for c, n in (("op_set", "n1"), ("operand_set", "n2"))],
     )
     parents = s.select("path", F.col("space_id").alias("parent_id"), F.col("kind").alias("parent_kind"))
     wmc = s.where(fn).join(parents, ["path", "parent_id"]).where("parent_kind in ('class', 'impl')").groupBy("path").agg(F.sum(cyclo).alias("wmc"))
@@ -408,6 +489,6 @@ def metrics(files: DataFrame) -> DataFrame:
     return j.select(
         "path", "language", "error", "spaces", "functions", "closures", "nargs", "cyclomatic_sum", "cyclomatic_min", "cyclomatic_max", F.round(F.col("cyclomatic_sum") / F.col("spaces"), 6).alias("cyclomatic_avg"),
         "cognitive", F.round(expr.ratio("cognitive", F.col("functions") + F.col("closures")), 6).alias("cognitive_avg"), F.col("exits").alias("nexit"), F.round(expr.abc("assignments", "branches", "conditions"), 6).alias("abc"),
-        "sloc", "ploc", "cloc", "lloc", F.greatest(F.lit(0), F.col("sloc") - F.col("ploc") - F.col("cloc")).alias("blank"), F.coalesce("wmc", F.lit(0)).alias("wmc"), F.col("public_methods").alias("npm"), F.col("public_attributes").alias("npa"),
+        "sloc", "ploc", "cloc", "lloc", "blank", F.coalesce("wmc", F.lit(0)).alias("wmc"), F.col("public_methods").alias("npm"), F.col("public_attributes").alias("npa"),
         *[F.round(f"halstead_{k}", 6).alias(f"halstead_{k}") for k in h], *[F.round(v, 6).alias(k) for k, v in mi.items()],
     )

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import stages
 from ..functions import expr
 
-#: Metrics that ranking and comparison know: label and whether higher is better.
+# The metrics that ranking and comparison know, with label and whether higher is better, and those taken by default.
 SELECTORS = {
-    "cyclomatic": ("Cyclomatic", False), "cognitive": ("Cognitive", False), "loc.lloc": ("LLOC", False), "mi.visual_studio": ("MI", True), "halstead.volume": ("Halstead volume", False),
-    "nom.functions": ("Functions", False), "nexit": ("Exits", False), "abc": ("ABC", False), "nargs": ("Arguments", False),
+    "cyclomatic": ("Cyclomatic", False), "cognitive": ("Cognitive", False), "nom.functions": ("Functions", False), "loc.lloc": ("LLOC", False), "mi.original": ("MI (Original)", True),
+    "mi.sei": ("MI (SEI)", True), "mi.visual_studio": ("MI", True), "halstead.volume": ("Halstead Vol", False), "abc": ("ABC", False),
 }
+DEFAULT_SELECTORS = ("cyclomatic", "cognitive", "nom.functions", "loc.lloc", "mi.visual_studio")
+
+
+def metric_key(selector: str) -> str:
+    """The metric behind a selector: sums for the two complexities."""
+    return f"{selector}.sum" if selector in ("cyclomatic", "cognitive") else selector
 
 
 def parse_selectors(names: list[str]) -> list[tuple[str, str, bool]]:
@@ -76,19 +83,25 @@ def fold_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(net.alias("status")).where("status <> 'none'")
 
 
-def roll_up(spaces: DataFrame, value: str = "value", depth: int = 16) -> DataFrame:
+def roll_up(spaces: DataFrame, value: str = "value", most: int = 1000) -> DataFrame:
     """Sum, extremes and count over each space and all below it, from ``(path, space_id, parent_id, value)``.
 
-    Every space is paired with its ancestors by joining one level at a time on ``(path, parent)``; the
-    rows that still have a parent shrink with the level, and trees of code are shallow.
+    Every space is paired with its ancestors by joining one level at a time on ``(path, parent)``, until no row has
+    a parent left; the rows that have one shrink with the level, and each level is written, so the plan stays short.
+    Spaces nested more than ``most`` deep are no tree, and an error.
     """
-    up = spaces.select("path", F.col("space_id").alias("ancestor"), "parent_id", F.col(value).alias("v"))
+    out = spaces.select("path", F.col("space_id").alias("ancestor"), F.col(value).alias("v"))
     parents = spaces.select("path", F.col("space_id").alias("ancestor"), F.col("parent_id").alias("next"))
-    out, level = up.select("path", "ancestor", "v"), up.where("parent_id is not null")
-    for _ in range(depth):
-        level = level.select("path", F.col("parent_id").alias("ancestor"), "v").join(parents, ["path", "ancestor"])
-        out = out.unionByName(level.select("path", "ancestor", "v"))
-        level = level.select("path", "ancestor", F.col("next").alias("parent_id"), "v").where("parent_id is not null")
+    level = spaces.where("parent_id is not null").select("path", "parent_id", F.col(value).alias("v"))
+    for _ in range(most):
+        found = level.select("path", F.col("parent_id").alias("ancestor"), "v").join(parents, ["path", "ancestor"])
+        found = stages.write(found, "level")
+        out = out.unionByName(found.select("path", "ancestor", "v"))
+        level = found.where("next is not null").select("path", F.col("next").alias("parent_id"), "v")
+        if level.isEmpty():
+            break
+    else:
+        raise ValueError(f"spaces nested more than {most} deep")
     return out.groupBy("path", "ancestor").agg(F.sum("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"), F.count("*").alias("spaces"))
 
 

@@ -115,7 +115,7 @@ def steps(d: Spark) -> dict[str, str]:
     out["table_rows"] = f"""SELECT *, sum(first) {before} AS tbl FROM (SELECT {k}, line, s, {flag(d.like('s', '^[|][ :|-]+$'))} AS rule, {d.replace(d.replace('s', '^[|]', ''), '[|]$', '')} AS inner_,
       {flag(f"coalesce(lag(line) {before}, -1) <> line - 1")} AS first FROM blocks WHERE kind = 'table') t"""
     cells = f"length(inner_) - length(replace(inner_, '|', '')) + 1"
-    empty = d.size(d.every("'|' || replace(inner_, '|', '||') || '|'", r"[|] *[|]"))
+    empty = d.size(d.every("'|' || replace(inner_, '|', '|;|') || '|'", r"[|] *[|]"))
     out["tables"] = f"""SELECT {k}, tbl, min(line) AS start_line, max(line) AS end_line, sum({flag('rule = 0')}) - 1 AS rows_, max(CASE WHEN rule = 0 THEN {cells} ELSE 0 END) AS cols, sum(CASE WHEN rule = 0 THEN {cells} ELSE 0 END) AS cells,
       sum(CASE WHEN rule = 0 THEN {empty} ELSE 0 END) AS empties, max(rule) AS header, max({flag('rule = 1 AND ' + d.like('s', '(^|[^:-]):-+($|[^:-])'))}) + max({flag('rule = 1 AND ' + d.like('s', '(^|[^:-])-+:'))}) + max({flag('rule = 1 AND ' + d.like('s', '(^|[|] *)-+ *[|]'))}) AS aligns FROM table_rows GROUP BY {k}, tbl"""
     out["table_records"] = f"""SELECT *, {clamp(weighted((0.25, sat('cols', 5, 12)), (0.25, sat('rows_', 20, 100)), (0.25, sat('cells', 60, 300)), (0.15, '1 - header'), (0.05, sat(per('empties', 'cells'), 0.10, 0.50)), (0.05, 'aligns / CAST(greatest(cols, 1) AS DOUBLE)')))} AS burden,

@@ -171,12 +171,18 @@ def script_classes(spark, d):
     return prose.scripts(_docs(spark, d))
 
 
-@query("WITH c AS (SELECT source, CASE WHEN len(regexp_extract_all(text, '[A-Za-z]')) >= 0.8 * len(regexp_extract_all(text, '\\p{L}')) THEN 1 ELSE 0 END AS en FROM documents) SELECT source, CASE WHEN sum(en) > 0 AND sum(1 - en) > 0 THEN 'mixed' WHEN sum(en) > 0 THEN 'en' ELSE 'other' END AS dominant FROM c GROUP BY source")
+@query(
+    r"""WITH n AS (SELECT source, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, len(regexp_extract_all(text, '[\p{Hiragana}\p{Katakana}]')) AS kana, len(regexp_extract_all(text, '\p{L}')) AS letters FROM documents),
+c AS (SELECT source, CASE WHEN letters > 0 AND kana >= 0.15 * letters THEN 1 ELSE 0 END AS ja, CASE WHEN letters > 0 AND kana < 0.15 * letters AND latin >= 0.8 * letters THEN 1 ELSE 0 END AS en FROM n)
+SELECT source, CASE WHEN sum(en) > 0 AND sum(ja) > 0 THEN 'mixed' WHEN sum(en) > 0 THEN 'en' WHEN sum(ja) > 0 THEN 'ja' ELSE 'other' END AS dominant FROM c GROUP BY source"""
+)
 def dominant_language(spark, d):
-    t = _t(spark, d, "documents")
-    en = (F.regexp_count("text", F.lit("[A-Za-z]")) >= 0.8 * F.regexp_count("text", F.lit(r"\p{L}"))).cast("int")
-    g = t.select("source", en.alias("en")).groupBy("source").agg(F.sum("en").alias("e"), F.sum(1 - F.col("en")).alias("o"))
-    return g.select("source", F.when((F.col("e") > 0) & (F.col("o") > 0), "mixed").when(F.col("e") > 0, "en").otherwise("other").alias("dominant"))
+    """The vote of a source's texts: English and Japanese together are mixed, other languages do not count."""
+    n = _t(spark, d, "documents").select("source", *(F.regexp_count("text", F.lit(p)).alias(c) for c, p in (("latin", "[A-Za-z]"), ("kana", r"[\p{IsHiragana}\p{IsKatakana}]"), ("letters", r"\p{L}"))))
+    ja = (F.col("letters") > 0) & (F.col("kana") >= 0.15 * F.col("letters"))
+    en = (F.col("letters") > 0) & (F.col("kana") < 0.15 * F.col("letters")) & (F.col("latin") >= 0.8 * F.col("letters"))
+    g = n.groupBy("source").agg(F.coalesce(F.sum(en.cast("int")), F.lit(0)).alias("e"), F.coalesce(F.sum(ja.cast("int")), F.lit(0)).alias("j"))
+    return g.select("source", F.when((F.col("e") > 0) & (F.col("j") > 0), "mixed").when(F.col("e") > 0, "en").when(F.col("j") > 0, "ja").otherwise("other").alias("dominant"))
 
 
 _LINES = "SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n\\z', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\n\\z', ''), chr(10)), 1) - 1 AS line_no FROM documents WHERE text <> ''"
@@ -254,14 +260,12 @@ _BASE = "SELECT doc_id, lang, length(text) AS chars, length(text) - length(repla
 
 
 def _revisions(spark, d):
-    """Two revisions of the documents' sizes: every 7th is new, every 11th deleted, every 5th has grown."""
+    """Two revisions of the documents' sizes, each of all rows: in the head every text stands five ids later."""
     t = _docs(spark, d).select("doc_id", F.length("text").alias("chars"), (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("blanks"))
-    base = t.where("doc_id % 7 <> 0")
-    head = t.where("doc_id % 11 <> 0").withColumn("chars", F.when(F.col("doc_id") % 5 == 0, F.col("chars") + 100).otherwise(F.col("chars")))
-    return base, head
+    return t, t.withColumn("doc_id", F.col("doc_id") + 5)
 
 
-_REV = f"t AS ({_BASE}), b AS (SELECT * FROM t WHERE doc_id % 7 <> 0), h AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN chars + 100 ELSE chars END AS chars, blanks FROM t WHERE doc_id % 11 <> 0), j AS (SELECT coalesce(h.doc_id, b.doc_id) AS doc_id, b.doc_id IS NULL AS is_new, h.doc_id IS NULL AS is_deleted, b.chars AS bc, h.chars AS hc, b.blanks AS bb, h.blanks AS hb FROM b FULL JOIN h ON b.doc_id = h.doc_id), m AS (SELECT doc_id, 'chars' AS metric, coalesce(hc, 0)::DOUBLE AS current, coalesce(bc, 0)::DOUBLE AS baseline, is_new, is_deleted FROM j UNION ALL SELECT doc_id, 'blanks', coalesce(hb, 0)::DOUBLE, coalesce(bb, 0)::DOUBLE, is_new, is_deleted FROM j), dd AS (SELECT doc_id, metric, current, baseline, current - baseline AS delta, is_new, is_deleted FROM m)"
+_REV = f"t AS ({_BASE}), b AS (SELECT * FROM t), h AS (SELECT doc_id + 5 AS doc_id, chars, blanks FROM t), j AS (SELECT coalesce(h.doc_id, b.doc_id) AS doc_id, b.doc_id IS NULL AS is_new, h.doc_id IS NULL AS is_deleted, b.chars AS bc, h.chars AS hc, b.blanks AS bb, h.blanks AS hb FROM b FULL JOIN h ON b.doc_id = h.doc_id), m AS (SELECT doc_id, 'chars' AS metric, coalesce(hc, 0)::DOUBLE AS current, coalesce(bc, 0)::DOUBLE AS baseline, is_new, is_deleted FROM j UNION ALL SELECT doc_id, 'blanks', coalesce(hb, 0)::DOUBLE, coalesce(bb, 0)::DOUBLE, is_new, is_deleted FROM j), dd AS (SELECT doc_id, metric, current, baseline, current - baseline AS delta, is_new, is_deleted FROM m)"
 
 
 @query(f"WITH {_REV} SELECT * FROM dd")
@@ -283,7 +287,7 @@ def gate_adverse_delta(spark, d):
 
 @query(f"SELECT doc_id, chars, blanks FROM ({_BASE}) ORDER BY chars DESC, blanks ASC, doc_id LIMIT 10")
 def rank_multikey(spark, d):
-    return corpus.rank(_revisions(spark, d)[0].unionByName(_docs(spark, d).where("doc_id % 7 = 0").select("doc_id", F.length("text").alias("chars"), (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("blanks"))), [("chars", False), ("blanks", True)], "doc_id")
+    return corpus.rank(_revisions(spark, d)[0], [("chars", False), ("blanks", True)], "doc_id")
 
 
 @query(f"WITH t AS ({_BASE}), m AS (SELECT doc_id, 'chars' AS metric, chars::DOUBLE AS value FROM t UNION ALL SELECT doc_id, 'blank_share', blanks / chars FROM t WHERE chars > 0) SELECT doc_id, metric, value FROM m WHERE (metric = 'chars' AND value > 5000) OR (metric = 'blank_share' AND value < 0.1)")
@@ -301,7 +305,11 @@ def multiset_increase(spark, d):
     return corpus.multiset_increase(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"])
 
 
-@query()
+@query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS path, list(CASE event_id % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' ELSE 'deleted' END ORDER BY event_id) AS steps FROM events GROUP BY user_id),
+f AS (SELECT path, list_reduce(list_prepend('none', steps), lambda acc, x: CASE x WHEN 'added' THEN CASE acc WHEN 'deleted' THEN 'modified' ELSE 'added' END WHEN 'modified' THEN CASE acc WHEN 'added' THEN 'added' ELSE 'modified' END ELSE CASE acc WHEN 'added' THEN 'none' ELSE 'deleted' END END) AS status FROM e)
+SELECT path, status FROM f WHERE status <> 'none'"""
+)
 def change_fold(spark, d):
     """Net change by user of an ordered stream of additions, modifications and deletions."""
     e = _t(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("path"), F.element_at(F.array(F.lit("added"), F.lit("modified"), F.lit("deleted")), (F.pmod("event_id", F.lit(3)) + 1).cast("int")).alias("status"))
@@ -320,7 +328,7 @@ def ancestor_rollup(spark, d):
     r = _t(spark, d, "region").select(b, F.col("r_regionkey").cast("long").alias("space_id"), F.lit(-1).cast("long").alias("parent_id"), F.lit(1.0).alias("value"))
     n = _t(spark, d, "nation").select(b, (F.col("n_nationkey") + 100).cast("long").alias("space_id"), F.col("n_regionkey").cast("long").alias("parent_id"), F.lit(2.0).alias("value"))
     c = _t(spark, d, "customer").select(b, (F.col("c_custkey") + 1000).cast("long").alias("space_id"), (F.col("c_nationkey") + 100).cast("long").alias("parent_id"), F.col("c_acctbal").cast("double").alias("value"))
-    x = corpus.roll_up(root.union(r).union(n).union(c), depth=3)
+    x = corpus.roll_up(root.union(r).union(n).union(c))
     return x.select("ancestor", F.round("total", 2).alias("total"), "least", "most", "spaces")
 
 

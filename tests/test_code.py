@@ -73,3 +73,33 @@ def test_deepest(spark):
 def test_selectors():
     assert [s[0] for s in corpus.parse_selectors(["abc", "unknown", "-mi.visual_studio"])] == ["abc", "mi.visual_studio"]
     assert corpus.parse_selectors(["-mi.visual_studio"])[0][2] is False
+
+
+def _heads(path, text):
+    names = [f.split()[0] for f in code.SCHEMA.split(", ")]
+    rows = [dict(zip(names, r)) for r in code.analyze(path, text, code.EXTENSIONS[path.rpartition(".")[2]])]
+    return [(r["kind"], r["name"], r["parent_id"], r["start_line"], r["end_line"], r["args"]) for r in rows[1:]], rows
+
+
+def test_ruby_blocks_end_with_their_keyword():
+    heads, rows = _heads("a.rb", "class A\n  def m(a, b)\n    if a\n      b\n    end\n    return a if b\n  end\n\n  def n x\n    [1].each do |i|\n      i\n    end\n  end\nend\n")
+    assert heads == [("class", "A", 0, 1, 14, 0), ("function", "m", 1, 2, 7, 2), ("function", "n", 1, 9, 13, 1)]
+    assert rows[0]["error"] is None and rows[1]["methods"] == 2 and rows[2]["decisions"] == 2
+
+
+def test_script_methods_and_arrows_open_spaces():
+    heads, _ = _heads("a.js", "class A {\n  m(x, y) { if (x) { return y; } }\n}\nconst f = (a, b) => { return a; }\nconst g = x => x + 1\n")
+    assert heads == [("class", "A", 0, 1, 3, 0), ("function", "m", 1, 2, 2, 2), ("closure", None, 0, 4, 4, 2), ("closure", None, 0, 5, 5, 1)]
+
+
+def test_go_receivers_are_no_names_and_powershell_parameters_count():
+    heads, _ = _heads("a.go", "package main\n\nfunc (r T) Name(a int, b int) int {\n\treturn a\n}\nfunc plain() { go func(z int) { return }(1) }\n")
+    assert heads == [("function", "Name", 0, 3, 5, 2), ("function", "plain", 0, 6, 6, 0), ("closure", None, 2, 6, 6, 1)]
+    assert _heads("a.ps1", "function Show {\n  param($a, $b)\n  if ($a) { return 1 }\n}\n")[0][0][-1] == 2
+
+
+def test_file_vocabulary_is_a_union_and_trailing_comments_leave_no_blank(spark):
+    text = "x = 1  # c\n\ndef f(a):\n    return a\n\ndef g(a):\n    return a\n"
+    r = code.metrics(spark.createDataFrame([("a.py", text)], "path string, text string")).first()
+    # def ( : return =; x 1 f a g
+    assert r.halstead_vocabulary == 10 and r.blank == 2 and r.cloc == 1
