@@ -55,19 +55,20 @@ def seeds(h: np.ndarray, seed: int) -> np.ndarray:
     return np.unique(running(h, min(seed, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
-def _longest(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, least: int, most: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """The length of the longest common run of unmarked words up to ``most`` (0 if below ``least``), and the hashes of all runs of that length."""
+def _longest(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, least: int, most: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The length of the longest common run of unmarked words up to ``most`` (0 if below ``least``), where in the document
+    such runs begin, and the hashes of all runs of that length in the document and the item."""
 
     def open_runs(h: np.ndarray, free: np.ndarray, n: int) -> np.ndarray:
         marked = np.concatenate([[0], np.cumsum(~free)])
         return marked[n:] == marked[: len(h) - n + 1]
 
-    def shared(n: int) -> tuple[np.ndarray, np.ndarray] | None:
+    def shared(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         if n > min(len(doc), len(item)):
             return None
         x, y = running(doc, n), running(item, n)
         on = np.isin(x, y[open_runs(item, free_item, n)]) & open_runs(doc, free_doc, n)
-        return (np.where(on, x, 0), y) if on.any() else None
+        return (np.flatnonzero(on), x, y) if on.any() else None
 
     low, high, best = least - 1, most + 1, None
     while high - low > 1:
@@ -76,7 +77,7 @@ def _longest(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item:
             low, best = mid, found
         else:
             high = mid
-    return (low, *best) if best else (0, doc[:0], doc[:0])
+    return (low, *best) if best else (0, doc[:0], doc[:0], doc[:0])
 
 
 def tile(doc: np.ndarray, item: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
@@ -96,13 +97,13 @@ def tile(doc: np.ndarray, item: np.ndarray, seed: int) -> list[tuple[int, int, i
     part, free_doc, free_item = doc[place], inside[place], np.ones(len(item), bool)
     out, most = [], min(len(part), len(item))
     while most >= least:
-        n, x, y = _longest(part, item, free_doc, free_item, least, most)
+        n, on, x, y = _longest(part, item, free_doc, free_item, least, most)
         if not n:
             break
         at: dict[int, list[int]] = {}
         for j in range(len(y) - 1, -1, -1):
             at.setdefault(int(y[j]), []).append(j)
-        for i in np.flatnonzero(x).tolist():
+        for i in on.tolist():
             if free_doc[i : i + n].all():
                 todo = at[int(x[i])]
                 while todo:  # marked places never become free again
@@ -113,7 +114,7 @@ def tile(doc: np.ndarray, item: np.ndarray, seed: int) -> list[tuple[int, int, i
                             out.append((int(place[i]), j, n))
                         break
                     todo.pop()
-        most = n - 1 if n else 0
+        most = n - 1
     return out
 
 
