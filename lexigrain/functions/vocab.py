@@ -1,6 +1,6 @@
 """Small vocabularies of this library's own making."""
 
-# Fixed values.
+# Own lists, short on purpose; pass others where a list is a parameter.
 HEDGES = ("perhaps", "maybe", "possibly", "probably", "seems", "appears", "somewhat", "likely", "in general", "it is possible", "as far as", "more or less")
 WEASELS = ("various", "several", "many", "some people", "a number of", "quite", "very", "fairly", "extremely", "mostly")
 WORDY = ("in order to", "due to the fact that", "at this point in time", "in the event that", "for the purpose of", "with regard to")
