@@ -185,10 +185,12 @@ def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), first, np.diff(np.append(first, total))
 
 
-def _group_repeats(rows: list[tuple[int, bytes, int]], length: int) -> Iterator[dict]:
+def _group_repeats(rows: list[tuple[int, bytes, int]], length: int, named: bool) -> Iterator[dict]:
     """For every fragment ``(key, bytes, smallest id)`` of whole key groups the maximal repeats in it.
 
-    ``starts, sizes``: where in the fragment; ``names``: hashes of the repeats' bytes; ``lows``: the smallest id that has it.
+    ``starts, sizes``: where in the fragment; ``lows``: the smallest id that has the repeat; ``names``: hashes of the
+    repeats' bytes.  Not ``named``, only those are given that tell which bytes an earlier document has: a repeat inside
+    another one that an as early document has says nothing more.
     """
     data = np.frombuffer(b"".join(f for _, f, _ in rows), np.uint8)
     size = np.array([len(f) for _, f, _ in rows], np.int64)
@@ -201,28 +203,38 @@ def _group_repeats(rows: list[tuple[int, bytes, int]], length: int) -> Iterator[
     before = np.where(starts == first[of], -1 - of, data[starts - 1].astype(np.int64))
     order, n, a, b = maximal_nodes(data, end, starts, before, length)
     place, low = starts[order], ids[of[order]]
+    # The fragment as a whole repeats if several documents have it.
+    at, width, lows, names = first, size, ids, None
     if len(n):
-        lows = np.minimum.reduceat(np.append(low, 0), np.stack([a, b + 1], 1).ravel())[::2]
+        least = np.minimum.reduceat(np.append(low, 0), np.stack([a, b + 1], 1).ravel())[::2]
         each = b - a + 1
         node = np.repeat(np.arange(len(n)), each)
-        at = place[np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + a[node]]
+        found = place[np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + a[node]]
+        at, width, lows = np.concatenate([at, found]), np.concatenate([width, n[node]]), np.concatenate([lows, least[node]])
+        if not named:
+            # At one place a longer repeat tells all that a shorter one does, unless that is in an earlier document.
+            by = np.lexsort([lows, -width, at])
+            at, width, lows = at[by], width[by], lows[by]
+            keep = np.concatenate([[True], (at[1:] != at[:-1]) | (lows[1:] < lows[:-1])])
+            at, width, lows = at[keep], width[keep], lows[keep]
+            # Of those that end together and are as early, the longest.
+            by = np.lexsort([at, lows, at + width])
+            at, width, lows = at[by], width[by], lows[by]
+            stop = at + width
+            keep = np.concatenate([[True], (stop[1:] != stop[:-1]) | (lows[1:] != lows[:-1])])
+            at, width, lows = at[keep], width[keep], lows[keep]
+    if named:
         raw = data.tobytes()
-        names = np.array([xxhash.xxh3_64_intdigest(raw[i : i + k]) - (1 << 63) for i, k in zip(place[a].tolist(), n.tolist())], np.int64)
-        at_of = fragment[at]
-        by = np.argsort(at_of, kind="stable")
-        node, at, at_of = node[by], at[by], at_of[by]
-        cuts = np.searchsorted(at_of, np.arange(len(rows) + 1))
-    for i, (key, f, d) in enumerate(rows):
-        # The fragment as a whole repeats if several documents have it.
-        out = {"starts": [0], "sizes": [len(f)], "names": [xxhash.xxh3_64_intdigest(f) - (1 << 63)], "lows": [d]}
-        if len(n) and cuts[i] < cuts[i + 1]:
-            on = slice(cuts[i], cuts[i + 1])
-            k = node[on]
-            out = {"starts": np.append(at[on] - first[i], 0), "sizes": np.append(n[k], len(f)), "names": np.append(names[k], out["names"]), "lows": np.append(lows[k], d)}
-        yield {"key": key, "frag": f} | out
-
-
-def _repeats(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+        names = np.array([xxhash.xxh3_64_intdigest(raw[i : i + k]) - (1 << 63) for i, k in zip(at.tolist(), width.tolist())], np.int64)
+    by = np.argsort(fragment[at], kind="stable")
+    at, width, lows, names = at[by], width[by], lows[by], names[by] if named else None
+    cuts = np.searchsorted(fragment[at], np.arange(len(rows) + 1))
+    for i, (key, f, _) in enumerate(rows):
+        on = slice(cuts[i], cuts[i + 1])
+        yield {"key": key, "frag": f, "starts": at[on] - first[i], "sizes": width[on], "names": names[on] if named else [], "lows": lows[on], "least": int(lows[on].min())}
+
+
+def _repeats(docs: DataFrame, length: int, named: bool) -> tuple[DataFrame, DataFrame]:
     """All rows ``(doc_id, tkey, n_bytes, sha256, first)``, and the repeats in texts that are no copies.
 
     ``first`` is the smallest id with the same text.  The second frame has a row for each fragment of a text, ``(doc_id,
@@ -252,8 +264,8 @@ def _repeats(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
             if out_ids:
                 yield {"doc_id": np.concatenate(out_ids), "key": np.concatenate(out_keys)}
 
-    named = base.where("doc_id is not null").withColumn("slot", common.sieve_slot("doc_id"))
-    met = common.in_arrow(named, anchors, "doc_id bigint, key bigint").repartition(common.partitions(spark), "key").sortWithinPartitions("key")
+    slotted = base.where("doc_id is not null").withColumn("slot", common.sieve_slot("doc_id"))
+    met = common.in_arrow(slotted, anchors, "doc_id bigint, key bigint").repartition(common.partitions(spark), "key").sortWithinPartitions("key")
 
     def shared(batches):
         """Of rows in the order of keys, those whose key has several documents."""
@@ -307,10 +319,9 @@ def _repeats(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
         def out(done):
             got = {n: [] for n in ("key", "frag", "starts", "sizes", "names", "lows", "least")}
-            for r in _group_repeats(done, length):
+            for r in _group_repeats(done, length, named):
                 for n, v in r.items():
                     got[n].append(v)
-                got["least"].append(int(min(r["lows"])))
             return got
 
         for b in batches:
@@ -331,7 +342,7 @@ def _repeats(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """``repeat, size, doc_id, tkey, start``: every maximal repeat of at least ``length`` bytes (by a hash of its bytes) with all its
     occurrences, in byte places of texts, texts that are copies of an earlier one left out."""
-    _, found = _repeats(docs, length)
+    _, found = _repeats(docs, length, True)
     each = found.select("doc_id", "tkey", "start", F.explode(F.arrays_zip("starts", "sizes", "names")).alias("x"))
     rows = common.stage(each.select(F.col("x.names").alias("repeat"), F.col("x.sizes").alias("size"), "doc_id", "tkey", (F.col("start") + F.col("x.starts")).alias("start")).distinct(), "occurrences")
     several = rows.groupBy("repeat", "size").agg(F.count("*").alias("n")).where("n > 1").select("repeat", "size")
@@ -343,15 +354,18 @@ def duplicated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, Data
 
     ``spans`` are begins and ends of occurrences of repeats that an earlier document has too.
     """
-    facts_of, found = _repeats(docs, length)
+    facts_of, found = _repeats(docs, length, False)
 
     def mark(batches):
         for b in batches:
             spans = []
             for doc_id, start, at, size, low in zip(b["doc_id"].to_pylist(), b["start"].to_pylist(), b["starts"], b["sizes"], b["lows"]):
                 on = low.values.to_numpy() < doc_id
-                begin = at.values.to_numpy()[on].astype(np.int64) + start
-                spans.append(np.stack([begin, begin + size.values.to_numpy()[on]], 1).ravel())
+                begin = at.values.to_numpy()[on].astype(np.int64)
+                covered = np.zeros(int((begin + size.values.to_numpy()[on]).max(initial=0)) + 2, np.int32)
+                np.add.at(covered, begin + 1, 1)
+                np.add.at(covered, begin + 1 + size.values.to_numpy()[on], -1)
+                spans.append(np.flatnonzero(np.diff((np.cumsum(covered) > 0).astype(np.int8))) + start)
             yield {"doc_id": b["doc_id"], "tkey": b["tkey"], "spans": spans}
 
     known = found.where("least < doc_id").select("doc_id", "tkey", "start", "starts", "sizes", "lows")
