@@ -1,5 +1,6 @@
 """Lost-row cases, and operators against plain Python on small tables."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexigrain.llm import decontaminate, line_dedup, near_dedup, packing, ppm
+from lexigrain.llm import decontaminate, line_dedup, near_dedup, packing, ppm, suffixes
 
 SCHEMA = "doc_id long, text string, lang string, row string, lines string, `__id` int"
 
@@ -180,3 +181,25 @@ def test_base_score_against_plain_counts(spark, sf):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(w in c for w in ws), total)
         assert r.base_score == pytest.approx(sum(log10((c[w] + 0.5) / floor) for w in ws), abs=1e-6)
+
+
+def test_removed_bytes_and_repeats_against_all_windows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
+    first: dict[bytes, int] = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    want = {}
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        spans = sum(1 for k in range(len(t)) if gone[k] and (not k or not gone[k - 1]))
+        want[i] = (len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest())
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicate(docs).collect()} == want
+    text, by = dict(rows), {}
+    for r in suffixes.repeats(docs).collect():
+        by.setdefault((r.repeat, r.size), []).append(text[r.doc_id][r.start : r.start + r.size])
+    assert by and all(len(x) > 1 and len(set(x)) == 1 and len(x[0]) == size >= 50 for (_, size), x in by.items())
