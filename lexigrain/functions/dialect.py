@@ -28,6 +28,11 @@ class Spark:
     def extract(self, s: str, p: str, group: int = 0) -> str:
         return f"regexp_extract({s}, {self.pattern(p)}, {group})"
 
+    @staticmethod
+    def script(name: str) -> str:
+        """A script's letters, inside a character class."""
+        return rf"\p{{Is{name}}}"
+
     @staticmethod
     def array(*xs: str) -> str:
         return f"array({', '.join(xs)})"
@@ -78,6 +83,10 @@ class Duck(Spark):
     def like(self, s: str, p: str) -> str:
         return f"regexp_matches({s}, '{p}')"
 
+    @staticmethod
+    def script(name: str) -> str:
+        return rf"\p{{{name}}}"
+
     @staticmethod
     def array(*xs: str) -> str:
         return f"[{', '.join(xs)}]"

@@ -148,22 +148,26 @@ def results(d: Spark) -> dict[str, str]:
 _held: dict[tuple, dict[str, str]] = {}
 
 
-def run(spark: SparkSession, sf_dir: str, result: str) -> DataFrame:
-    """The result over the tables of a folder.  Shared steps are written once for a session and its input files."""
+def run(spark: SparkSession, sf_dir: str, result: str, given: dict[str, str] | None = None) -> DataFrame:
+    """The result over the tables of a folder.  Shared steps are written once for a session and its input files.
+
+    ``given`` are the source's steps and more that the result builds on.
+    """
+    given = given or source(SPARK)
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages")}
     key = (spark.sparkContext.applicationId, *(f for t in tables.values() for f in t.inputFiles()))
     held = _held.setdefault(key, {})
     mark = f"lexigrain_{abs(hash(key))}"
     for t, df in tables.items():
         df.createOrReplaceTempView(f"{mark}_{t}")
-    known = source(SPARK) | documents.steps(SPARK)
+    known = given | documents.steps(SPARK)
     base = {t: f"{mark}_{t}" for t in tables}
     for name in documents.needed(known, result, {}):
         if name in documents.SHARED and name not in held:
-            step = documents.plan(SPARK, source(SPARK), f"SELECT * FROM {name}", base | held)
+            step = documents.plan(SPARK, given, f"SELECT * FROM {name}", base | held)
             stages.write(spark.sql(step), name).createOrReplaceTempView(f"{mark}_{name}")
             held[name] = f"{mark}_{name}"
-    return spark.sql(documents.plan(SPARK, source(SPARK), result, base | held))
+    return spark.sql(documents.plan(SPARK, given, result, base | held))
 
 
 def _runner(name: str):

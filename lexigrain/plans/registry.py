@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr, vocab
 from ..operators import code, corpus, lines, links, markdown, prose
-from . import documents
+from . import documents, prose_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -390,5 +390,5 @@ def markdown_metrics(spark, d):
     return markdown.metrics(spark.createDataFrame(_MD, "path string, text string"))
 
 
-QUERIES |= documents.QUERIES
-ORACLE_SQL |= documents.ORACLE_SQL
+QUERIES |= documents.QUERIES | prose_blocks.QUERIES
+ORACLE_SQL |= documents.ORACLE_SQL | prose_blocks.ORACLE_SQL
