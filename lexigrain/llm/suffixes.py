@@ -207,16 +207,20 @@ def _group_repeats(rows: list[tuple[int, bytes, int]], length: int, named: bool)
     at, width, lows, names = first, size, ids, None
     if len(n):
         least = np.minimum.reduceat(np.append(low, 0), np.stack([a, b + 1], 1).ravel())[::2]
-        each = b - a + 1
-        node = np.repeat(np.arange(len(n)), each)
-        found = place[np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + a[node]]
-        at, width, lows = np.concatenate([at, found]), np.concatenate([width, n[node]]), np.concatenate([lows, least[node]])
+        if named:
+            each = b - a + 1
+            node = np.repeat(np.arange(len(n)), each)
+            on = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + a[node]
+        else:
+            # Children come first: at one place a longer repeat tells all that a shorter one does, unless that is in an earlier document.
+            told, picked = np.full(len(order), -1), []
+            for i, j, m in zip(a.tolist(), (b + 1).tolist(), np.unique(least, return_inverse=True)[1].tolist()):
+                part = told[i:j]
+                picked.append(np.flatnonzero(part != m) + i)
+                part[:] = m
+            on, node = np.concatenate(picked), np.repeat(np.arange(len(n)), [len(x) for x in picked])
+        at, width, lows = np.concatenate([at, place[on]]), np.concatenate([width, n[node]]), np.concatenate([lows, least[node]])
         if not named:
-            # At one place a longer repeat tells all that a shorter one does, unless that is in an earlier document.
-            by = np.lexsort([lows, -width, at])
-            at, width, lows = at[by], width[by], lows[by]
-            keep = np.concatenate([[True], (at[1:] != at[:-1]) | (lows[1:] < lows[:-1])])
-            at, width, lows = at[keep], width[keep], lows[keep]
             # Of those that end together and are as early, the longest.
             by = np.lexsort([at, lows, at + width])
             at, width, lows = at[by], width[by], lows[by]
