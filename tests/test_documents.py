@@ -70,3 +70,28 @@ def test_scores_stay_in_their_ranges_and_empty_files_have_rows(ask):
         assert 0 <= dmi <= 100 and 0 <= rci <= 100 and all(0 <= x <= 1 for x in shares)
     # Sections 1 and 2 hang together, the two links' targets and the note hang on them.
     assert ask("SELECT sections, linked, domains, notes, large_artifacts FROM graph WHERE rev = 'head' AND path = 'a.md'") == [(3, 2, 2, 1, 0)]
+
+
+def test_shared_steps_lie_in_buckets_by_path_and_text_is_kept_once(spark, sf):
+    """A plan over the shared steps does not shuffle files again, and only one of them holds their text."""
+    from lexigrain.plans import documents as md
+
+    out = md.run(spark, sf, md.results(SPARK)["md_section_balance"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    held = next(h for k, h in md._held.items() if any(sf in str(f) for f in k))
+    assert len({held[n] for n in ("marked", "blocks", "prose", "counted", "placed")}) == 1
+
+
+def test_base_lacks_the_last_line_of_every_text_and_numbers_lines_as_the_head_does(spark, sf):
+    from lexigrain.plans import documents as md
+
+    spark.createDataFrame([(1, "One two\nthree\nfour five"), (2, "x"), (3, None)], "doc_id bigint, text string").createOrReplaceTempView("few_docs")
+    spark.createDataFrame([(7, "<h1>A</h1><p>b</p>")], "page_id bigint, html string").createOrReplaceTempView("few_pages")
+    held = {"documents": "few_docs", "pages": "few_pages"}
+    known = md.source(SPARK)
+    plain = {k: v for k, v in known.items() if k not in ("marked", "numbered")} | {"marked": "SELECT rev, path, raw, row_number() OVER (PARTITION BY rev, path ORDER BY i, part) AS line FROM revised"}
+    ask = lambda given: sorted(map(tuple, spark.sql(documents.plan(SPARK, given, "SELECT rev, path, line, raw FROM marked", held)).collect()))
+    got = ask(known)
+    assert got == ask(plain) and {r[0] for r in got} == {"head", "base"}
+    assert {r[1] for r in got if r[0] == "base"} == {"docs/1.md", "pages/7.md"}
