@@ -117,9 +117,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     block = max(1024, min(32768, total // (2 * parts)))
     dealt = rows.repartition(parts, "vec_id").sortWithinPartitions("vec_id", "v")
     blocks = common.stage(_pack(dealt, block, parts), "blocks")
-    packs = common.stage(_pack(dealt.where(queries), pack, parts), "packs")
+    asked = rows.where(queries)
+    # As few packs as hold the queries: every block is met by each.
+    few = max(1, min(parts, -(-asked.count() // pack)))
+    packs = common.stage(_pack(asked.repartition(few, "vec_id").sortWithinPartitions("vec_id", "v"), pack, parts), "packs")
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    met = blocks.join(packs.select(every, "dim", F.col("ids").alias("qids"), F.col("m").alias("qm")), ["part", "dim"])
+    # Never broadcast: a copy of all packs for every part would go through the driver.
+    dealt_packs = packs.select(every, "dim", F.col("ids").alias("qids"), F.col("m").alias("qm")).hint("shuffle_merge")
+    met = blocks.join(dealt_packs, ["part", "dim"])
 
     def run(batches):
         floor: dict[int, int] = {}

@@ -103,6 +103,14 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_sends_no_copies_of_packs_through_the_driver(spark):
+    df = spark.range(3000).selectExpr("id AS vec_id", "transform(sequence(1, 8), i -> CAST(sin(id * i) AS FLOAT)) AS embedding")
+    out = topk.top_k(df, F.pmod("vec_id", F.lit(100)) == 0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert out.count() == 300
+
+
 def test_packing(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(docs, path, 256).collect()
