@@ -238,6 +238,30 @@ def _posts(rows: DataFrame, order: np.ndarray, num: int, den: int, cut) -> DataF
     return common.in_arrow(rows, run, "rep bigint, c bigint, n bigint, rest bigint, t bigint, small boolean, k bigint")
 
 
+#: 64-bit words of a set's parities.
+_WORDS = 8
+
+
+def parities(t: np.ndarray) -> np.ndarray:
+    """For every slot of a hash whether an odd number of the set's items fall into it, as ``_WORDS`` words.
+
+    What two sets share cancels, so their parities differ in no more slots than there are items in only one of them.
+    """
+    at = (common.mix64(t) % np.uint64(64 * _WORDS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * _WORDS) & 1).astype(np.uint8)).view("<i8")
+
+
+def _marks(rows: DataFrame, cut) -> DataFrame:
+    """``rep, b0, b1, ...``: the parities of every set."""
+
+    def run(batches):
+        for b in batches:
+            words = np.stack([parities(t) for t in _items(b, cut)])
+            yield {"rep": b["rep"]} | {f"b{i}": words[:, i] for i in range(_WORDS)}
+
+    return common.in_arrow(rows, run, "rep bigint, " + ", ".join(f"b{i} bigint" for i in range(_WORDS)))
+
+
 def _placed(rows: DataFrame, comps: DataFrame, of: str, name: str) -> DataFrame:
     """``rows`` with the component of the node ``of`` as column ``name``."""
     known = comps.select(F.col("id").alias("__node"), F.col("comp").alias("__comp"))
@@ -264,24 +288,27 @@ def _rest(left: DataFrame, sets: DataFrame, num: int, den: int, cut=None) -> Dat
     first common item stands near the beginning of both: what follows it must hold the overlap.  The
     smaller set therefore offers a short prefix, the larger one a longer prefix for every class of
     sizes its partner may have.  Under each key the rows of its most frequent component are not
-    compared with each other.
+    compared with each other.  Of those that meet, only pairs go on whose parities do not rule out the similarity.
     """
     held = common.stage(left.join(sets, "rep").select("rep", "c", "items"), "held")
     posts = common.stage(_posts(held, _item_order(held, cut), num, den, cut), "posts")
+    marks = common.stage(_marks(held, cut), "marks")
     common.discard(held)
     per = posts.groupBy("t", "k", "c").agg(F.count("*").alias("f"), F.max("small").alias("any"), F.min("small").alias("all"))
     tops = per.groupBy("t", "k").agg(F.max_by("c", "f").alias("top"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("any").alias("any"), F.min("all").alias("all")).where("lo < hi and any and not all")
     rows = posts.join(tops.select("t", "k", "top"), ["t", "k"]).withColumn("top", F.col("c") == F.col("top"))
-    rows = common.stage(rows, "rows")
-    a = rows.where("small").select("t", "k", *(F.col(x).alias(f"{x}a") for x in ("rep", "c", "n", "rest", "top")))
-    b = rows.where("not small").select("t", "k", *(F.col(x).alias(f"{x}b") for x in ("rep", "c", "n", "rest", "top")))
-    fits = F.expr(f"na <= nb and ca <> cb and least(resta, restb) * {num + den} >= {num} * (na + nb)")
+    rows = common.stage(rows.join(marks, "rep"), "rows")
+    words = [f"b{i}" for i in range(_WORDS)]
+    a = rows.where("small").select("t", "k", *(F.col(x).alias(f"{x}a") for x in ("rep", "c", "n", "rest", "top", *words)))
+    b = rows.where("not small").select("t", "k", *(F.col(x).alias(f"{x}b") for x in ("rep", "c", "n", "rest", "top", *words)))
+    differ = " + ".join(f"bit_count({w}a ^ {w}b)" for w in words)
+    fits = F.expr(f"na <= nb and ca <> cb and least(resta, restb) * {num + den} >= {num} * (na + nb) and ({differ}) * {num + den} <= {den - num} * (na + nb)")
 
     def meet(x: DataFrame, y: DataFrame) -> DataFrame:
         return x.join(y, ["t", "k"]).where(fits).select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b"))
 
     pairs = common.stage(meet(a.where("not topa"), b).union(meet(a.where("topa"), b.where("not topb"))).distinct(), "pairs")
-    common.discard(posts, rows)
+    common.discard(posts, rows, marks)
     return pairs
 
 

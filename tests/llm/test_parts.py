@@ -138,3 +138,11 @@ def test_line_signatures_of_similar_lines_agree():
     a = "the quick brown fox jumps over the lazy dog near the old river bank"
     sig = line_dedup.signatures([a, a[:-1] + "x", "nothing alike at all here, friend", "x"], 8, 48)
     assert (sig[0] == sig[1]).mean() > 0.7 > 0.1 > (sig[0] == sig[2]).mean()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 3000), max_size=300), st.sets(st.integers(0, 3000), max_size=300))
+def test_parities_differ_in_no_more_slots_than_items_are_in_one_set_only(a, b):
+    x, y = (near_dedup.parities(np.array(sorted(s), np.uint64)) for s in (a, b))
+    differ = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x ^ y)
+    assert differ <= len(a ^ b) and (differ - len(a ^ b)) % 2 == 0
