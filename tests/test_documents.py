@@ -97,6 +97,27 @@ def test_base_lacks_the_last_line_of_every_text_and_numbers_lines_as_the_head_do
     assert {r[1] for r in got if r[0] == "base"} == {"docs/1.md", "pages/7.md"}
 
 
+def test_text_is_written_once_for_both_revisions(spark, sf):
+    """The base's lines are read from the head's rows, and are what the plan without tables says."""
+    import re
+
+    from lexigrain.plans import documents as md
+
+    out = md.run(spark, sf, md.results(SPARK)["md_tokens"])
+    held = next(h for k, h in md._held.items() if any(sf in str(f) for f in k))
+    plan = spark.table(held["placed"])._jdf.queryExecution().optimizedPlan().toString()
+    text = spark.table(re.search(r"lexigrain_placed_[0-9a-f]+", plan)[0])
+    assert "toks" not in text.columns and text.count() == text.select("path", "line").distinct().count() == spark.table(held["placed"]).where("rev = 'head'").count()
+    base = {t: f"plain_{t}" for t in ("documents", "pages")}
+    for t, name in base.items():
+        spark.read.parquet(f"{sf}/{t}.parquet").createOrReplaceTempView(name)
+    for step, cols in (("placed", "rev, path, line, kind, s, toks, fence, formula, fm, raw, words, section"), ("tokens", "rev, path, line, section, tok, class")):
+        plain = spark.sql(documents.plan(SPARK, md.source(SPARK), f"SELECT {cols} FROM {step}", base))
+        kept = spark.sql(f"SELECT {cols} FROM {held[step]}")
+        assert kept.exceptAll(plain).isEmpty() and plain.exceptAll(kept).isEmpty()
+    assert out.count() > 0
+
+
 def test_sentences_are_counted_once_a_text_and_not_once_a_word(spark):
     from lexigrain.operators import prose
 
