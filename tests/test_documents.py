@@ -118,6 +118,15 @@ def test_text_is_written_once_for_both_revisions(spark, sf):
     assert out.count() > 0
 
 
+def test_only_tokens_that_look_like_paths_leave_their_file(spark):
+    rows = [("head", "a.md", 1, "see b.md, b.md and c.md or b"), ("head", "b.md", 1, "x"), ("base", "a.md", 1, "see b.md")]
+    spark.createDataFrame(rows, "rev string, path string, line bigint, raw string").createOrReplaceTempView("path_lines")
+    out = spark.sql(documents.plan(SPARK, {}, "SELECT rev, path, toks, types, paths, found_paths FROM token_counts", {"marked": "path_lines"}))
+    assert sorted(map(tuple, out.collect())) == [("base", "a.md", 2, 2, 1, 0), ("head", "a.md", 7, 6, 3, 2), ("head", "b.md", 1, 1, 0, 0)]
+    found = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "tok#" in x]
+    assert found and all("Inner" in x for x in found)
+
+
 def test_sentences_are_counted_once_a_text_and_not_once_a_word(spark):
     from lexigrain.operators import prose
 
