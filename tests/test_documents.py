@@ -118,6 +118,24 @@ def test_text_is_written_once_for_both_revisions(spark, sf):
     assert out.count() > 0
 
 
+def test_text_is_sorted_in_as_many_parts_as_it_has_buckets(spark, monkeypatch):
+    """Put together by their size in the shuffle, parts would be too large for the sorts of their lines."""
+    from lexigrain.plans import documents as md
+
+    seen = []
+
+    def dealt(df, *rest):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        raise InterruptedError
+
+    monkeypatch.setattr(md.stages, "dealt", dealt)
+    spark.createDataFrame([(1, "One two")], "doc_id bigint, text string").createOrReplaceTempView("part_docs")
+    spark.createDataFrame([(7, "<p>b</p>")], "page_id bigint, html string").createOrReplaceTempView("part_pages")
+    with pytest.raises(InterruptedError):
+        md._text(spark, md.source(SPARK), {"documents": "part_docs", "pages": "part_pages"}, {}, "parts")
+    assert seen[0].count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in seen[0]
+
+
 def test_only_tokens_that_look_like_paths_leave_their_file(spark):
     rows = [("head", "a.md", 1, "see b.md, b.md and c.md or b"), ("head", "b.md", 1, "x"), ("base", "a.md", 1, "see b.md")]
     spark.createDataFrame(rows, "rev string, path string, line bigint, raw string").createOrReplaceTempView("path_lines")
