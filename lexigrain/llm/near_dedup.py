@@ -12,7 +12,8 @@ the most candidates.  First each class meets the one hub that it shares the most
 of the hubs in components other than its own, the best one of each component; then the hubs that are
 still elsewhere.  Buckets whose other members by then lie in one component are finished, because further
 links in them could change nothing.  In those left, two more hubs from different components are compared
-with the rest, which finishes buckets of up to four members; what still lies apart after that goes
+with the rest, which finishes buckets of up to four members; what still lies apart after that is compared pair by
+pair in small buckets, where that is asked for, and otherwise goes
 through an exact prefix filter over full sets, which misses no link between components.
 
 With 32 bands of 4 rows a pair at similarity 0.8 escapes all buckets with probability 5e-8.
@@ -73,10 +74,10 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
         for b in batches:
             n, digest, keys = [], [], []
             for text in b["text"].to_pylist():
-                s = np.unique(common.shingles(common.words(text), k))
+                s = common.distinct(common.shingles(common.words(text), k))
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(band_keys(signature(s, bands * rows), bands, rows).astype("<u8").tobytes() if len(s) else None)
+                keys.append(packed(band_keys(signature(s, bands * rows), bands, rows)[None])[0] if len(s) else None)
             yield {"doc_id": b["doc_id"], "tkey": b["tkey"], "n": n, "digest": digest, "bands": keys}
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
@@ -94,7 +95,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int) -> Dat
         for b in batches:
             at = np.flatnonzero(sieve.passes(b["slot"].to_numpy()))
             doc_ids, found = b["doc_id"].take(at), b["text"].take(at)
-            sets = [np.unique(common.shingles(common.words(t), k)) for t in found.to_pylist()]
+            sets = [common.distinct(common.shingles(common.words(t), k)) for t in found.to_pylist()]
             yield {"doc_id": doc_ids, "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "items": [common.as_long(s) for s in sets]}
 
     rows = docs.where("doc_id is not null").withColumn("slot", common.sieve_slot("doc_id"))
@@ -312,14 +313,44 @@ def _rest(left: DataFrame, sets: DataFrame, num: int, den: int, cut=None) -> Dat
     return pairs
 
 
-def _bands(b: dict) -> np.ndarray:
-    return np.frombuffer(b"".join(b["bands"].to_pylist()), "<i8")
+def _inside(left: DataFrame) -> DataFrame:
+    """All pairs ``(a, b)`` of members ``h, rep, c`` of one bucket that lie in several components."""
+    x, y = (left.select("h", F.col("rep").alias(r), F.col("c").alias(f"c{r}")) for r in "ab")
+    return x.join(y, "h").where("a < b and ca <> cb").select("a", "b").distinct()
 
 
-#: Low bits of a key word that tell the members of a bucket apart while the buckets are sought; the others name the bucket.
+#: Bytes of a bucket's name.  Two buckets that share one by chance are a few more pairs to test, and no link more.
+_NAME = 5
+#: Low bits of a word that tell the members of a bucket apart while the buckets are sought; the others name the bucket.
 _TELL = 12
 
 
+def packed(keys: np.ndarray) -> list[bytes]:
+    """Bucket names of rows of 64-bit keys, one after another."""
+    cut = np.ascontiguousarray(keys, "<u8").view(np.uint8).reshape(*keys.shape, 8)[:, :, :_NAME]
+    return [r.tobytes() for r in cut]
+
+
+def _wide(raw: np.ndarray) -> np.ndarray:
+    """Numbers from rows of their low bytes."""
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : raw.shape[1]] = raw
+    return out.view("<i8").ravel()
+
+
+def _bands(b: dict) -> np.ndarray:
+    return _wide(np.frombuffer(b"".join(b["bands"].to_pylist()), np.uint8).reshape(-1, _NAME))
+
+
+def _steps(words: np.ndarray) -> bytes:
+    """Rising words of 56 bits as their differences, lowest bytes first: the high bytes hardly differ and take little when compressed."""
+    return np.diff(words, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
+
+
+def _words(raw: bytes) -> np.ndarray:
+    return np.cumsum(_wide(np.frombuffer(raw, np.uint8).reshape(7, -1).T))
+
+
 def _shared(banded: DataFrame) -> DataFrame:
     """``h``: the buckets that have several members.
 
@@ -328,23 +359,22 @@ def _shared(banded: DataFrame) -> DataFrame:
     that was posted by several tasks does not make a bucket of its own.
     """
     slots = 4 * common.partitions(banded.sparkSession)
+    bounds = np.arange(slots + 1) * -(-(1 << (8 * _NAME + _TELL)) // slots)
 
     def deal(batches):
         held, size = [], 0
 
         def out():
-            w = np.unique(np.concatenate(held))
-            to = (common.mix64((w >> _TELL).view(np.uint64)) % np.uint64(slots)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            ends = np.searchsorted(to[order], np.arange(slots + 1))
+            w = common.distinct(np.concatenate(held))
+            ends = np.searchsorted(w, bounds)
             full = np.flatnonzero(np.diff(ends))
-            return {"slot": full, "keys": [w[order[ends[i] : ends[i + 1]]].tobytes() for i in full]}
+            return {"slot": full, "keys": [_steps(w[ends[i] : ends[i + 1]]) for i in full]}
 
         for b in batches:
             h, reps = _bands(b), b["reps"].flatten().to_numpy()
             of = np.repeat(reps, len(h) // max(len(reps), 1)).view(np.uint64)
             tell = common.mix64(of ^ h.view(np.uint64)) >> np.uint64(64 - _TELL)
-            held.append(h >> _TELL << _TELL | tell.view(np.int64))
+            held.append(h << _TELL | tell.view(np.int64))
             size += len(h)
             if size > 1_000_000:
                 yield out()
@@ -355,13 +385,13 @@ def _shared(banded: DataFrame) -> DataFrame:
     def several(batches):
         known, held, size = np.empty(0, np.int64), [], 0
         for b in batches:
-            held += [np.frombuffer(x, "<i8") for x in b["keys"].to_pylist()]
+            held += [_words(x) for x in b["keys"].to_pylist()]
             size += sum(map(len, held[-len(b["keys"]) :]))
             if size > max(1_000_000, len(known)):
-                known = np.unique(np.concatenate([known, *held]))
+                known = common.distinct(np.concatenate([known, *held]))
                 held, size = [], 0
-        h = np.unique(np.concatenate([known, *held])) >> _TELL
-        more = np.unique(h[1:][h[1:] == h[:-1]])
+        h = common.distinct(np.concatenate([known, *held])) >> _TELL
+        more = common.distinct(h[1:][h[1:] == h[:-1]])
         for at in range(0, len(more), 100_000):
             yield {"h": more[at : at + 100_000]}
 
@@ -380,7 +410,7 @@ def _members(banded: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            h, reps = _bands(b) >> _TELL, b["reps"].flatten().to_numpy()
+            h, reps = _bands(b), b["reps"].flatten().to_numpy()
             at = np.repeat(np.arange(len(reps)), len(h) // max(len(reps), 1))
             ok = sieve.passes(np.mod(h, 1 << common.SIEVE_LOG))
             yield {"h": h[ok], "rep": reps[at[ok]], "n": b["ns"].flatten().to_numpy()[at[ok]]}
@@ -407,13 +437,14 @@ def _hubs(met: DataFrame) -> DataFrame:
     return members
 
 
-def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | None = None, cut=None, alike=None) -> DataFrame:
+def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | None = None, cut=None, alike=None, within: int = 0) -> DataFrame:
     """Components ``(id, comp)`` over nodes that share a bucket key and pass the exact test.
 
     ``banded`` has rows of some nodes: ``reps``, the sizes of their sets ``ns`` (0 where not known), and ``bands``, their
     keys one after another.  ``sets_of(ids)`` gives ``rep, items`` for a frame of ``rep``, where ``items`` are a
     set, or a text that ``cut`` turns into one and ``alike`` compares; ``given`` are links ``(a, b)`` known
-    beforehand.  The text that a group was copied from agrees with more of the group than the copies do with
+    beforehand.  What the hubs leave apart in buckets of up to ``within`` members is compared pair by pair, which for short
+    items costs less than the filter.  The text that a group was copied from agrees with more of the group than the copies do with
     each other, so one good hub joins most of a group, and what it has joined is compared no more.
     """
     spark = banded.sparkSession
@@ -453,12 +484,16 @@ def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | N
     comps = settle(apart.select("a", "b").union(rivals.select(F.least("rep", "e.rep"), F.greatest("rep", "e.rep"))), comps)
     # Every pair with a bucket's three hubs is known; what is left of it goes on if it still lies apart.
     others = _placed(live.where("rep <> lo.rep and rep <> hi.rep").select("h", "rep"), comps, "rep", "c")
-    open_ = others.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
-    left = common.stage(others.join(open_, "h", "left_semi").select("rep", "c").distinct(), "left")
-    if not left.isEmpty():
-        rest = _rest(left, sets, num, den, cut)
+    open_ = others.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).where("x < y").select("h", "size")
+    left = common.stage(others.join(open_, "h"), "left")
+    if within:
+        comps = settle(_inside(left.where(F.col("size") <= within)), comps)
+    large = common.stage(left.where(F.col("size") > within).select("rep", "c").distinct(), "large")
+    if not large.isEmpty():
+        rest = _rest(large, sets, num, den, cut)
         comps = settle(rest, comps)
         common.discard(rest)
+    common.discard(large)
     common.discard(pairs, left, live, sets, members, *tried)
     return comps
 
