@@ -32,7 +32,7 @@ from . import common, near_dedup
 #: Characters of the shingles that signatures are taken over.
 GRAM = 7
 #: Members of a bucket up to which what the hubs leave apart is compared pair by pair.
-WITHIN = 256
+WITHIN = 1024
 _M = np.random.default_rng(20).integers(0, 1 << 32, 512, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _CHARS = 60_000
 
@@ -171,7 +171,8 @@ def _forms(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _cut(forms: list[str], k: int) -> list[np.ndarray]:
     """The sorted shingle sets of non-blank forms."""
-    return [common.distinct(_ragged([f], k)[0]) for f in forms]
+    hashes, starts = _ragged(forms, k)
+    return [common.distinct(x) for x in np.split(hashes, starts[1:])]
 
 
 def _alike(k: int, num: int, den: int):
@@ -220,7 +221,11 @@ def line_classes(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, ban
     found = common.stage(found.select("key", "check", "comp", "first"), "repeated")
     heads = found.where("comp is not null").groupBy("comp").agg(F.min("first").alias("head"))
     out = found.join(heads, "comp", "left").select("key", "check", F.coalesce("comp", "key").alias("component"), F.coalesce("head", "first").alias("first"))
-    return lines.select("doc_id", "tkey", "line", "key", "check"), common.stage(out, "classes")
+    done = common.stage(out, "classes")
+    common.discard(found, comps)
+    few = lines.select("doc_id", "tkey", "line", "key", "check")
+    few._lexigrain_path = lines._lexigrain_path
+    return few, done
 
 
 def _places(lines: DataFrame) -> DataFrame:
@@ -236,11 +241,13 @@ def repeated_lines(docs: DataFrame, **how) -> DataFrame:
 
 
 def removed(docs: DataFrame, **how) -> DataFrame:
-    """``doc_id, tkey, lines``: the numbers of the lines to remove, for texts that have any."""
+    """``doc_id, tkey, lines``: the numbers of the lines to remove, for texts that have any; a stage table, beside which nothing is kept."""
     lines, classes = line_classes(docs, **how)
     places = _places(lines)
     gone = places.join(classes, ["key", "check"]).where(F.struct("doc_id", "tkey", "line") != F.col("first"))
-    return gone.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    out = common.stage(gone.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed")
+    common.discard(lines, classes)
+    return out
 
 
 def rewrite(docs: DataFrame, gone: DataFrame) -> DataFrame:

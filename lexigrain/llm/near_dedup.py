@@ -253,14 +253,25 @@ def parities(t: np.ndarray) -> np.ndarray:
 
 
 def _marks(rows: DataFrame, cut) -> DataFrame:
-    """``rep, b0, b1, ...``: the parities of every set."""
+    """``rep, m, b0, b1, ...``: size and parities of every set."""
 
     def run(batches):
         for b in batches:
-            words = np.stack([parities(t) for t in _items(b, cut)])
-            yield {"rep": b["rep"]} | {f"b{i}": words[:, i] for i in range(_WORDS)}
+            sets = _items(b, cut)
+            words = np.stack([parities(t) for t in sets])
+            yield {"rep": b["rep"], "m": [len(t) for t in sets]} | {f"b{i}": words[:, i] for i in range(_WORDS)}
 
-    return common.in_arrow(rows, run, "rep bigint, " + ", ".join(f"b{i} bigint" for i in range(_WORDS)))
+    return common.in_arrow(rows, run, "rep bigint, m bigint, " + ", ".join(f"b{i} bigint" for i in range(_WORDS)))
+
+
+def _named(marks: DataFrame, x: str) -> DataFrame:
+    return marks.select(*(F.col(c).alias(f"{c}{x}") for c in marks.columns))
+
+
+def _close(num: int, den: int) -> "F.Column":
+    """Whether sizes and parities of ``a`` and ``b`` leave the similarity possible."""
+    differ = " + ".join(f"bit_count(b{i}a ^ b{i}b)" for i in range(_WORDS))
+    return F.expr(f"{den} * least(ma, mb) >= {num} * greatest(ma, mb) and ({differ}) * {num + den} <= {den - num} * (ma + mb)")
 
 
 def _placed(rows: DataFrame, comps: DataFrame, of: str, name: str) -> DataFrame:
@@ -293,7 +304,7 @@ def _rest(left: DataFrame, sets: DataFrame, num: int, den: int, cut=None) -> Dat
     """
     held = common.stage(left.join(sets, "rep").select("rep", "c", "items"), "held")
     posts = common.stage(_posts(held, _item_order(held, cut), num, den, cut), "posts")
-    marks = common.stage(_marks(held, cut), "marks")
+    marks = common.stage(_marks(held, cut).drop("m"), "marks")
     common.discard(held)
     per = posts.groupBy("t", "k", "c").agg(F.count("*").alias("f"), F.max("small").alias("any"), F.min("small").alias("all"))
     tops = per.groupBy("t", "k").agg(F.max_by("c", "f").alias("top"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("any").alias("any"), F.min("all").alias("all")).where("lo < hi and any and not all")
@@ -313,10 +324,11 @@ def _rest(left: DataFrame, sets: DataFrame, num: int, den: int, cut=None) -> Dat
     return pairs
 
 
-def _inside(left: DataFrame) -> DataFrame:
-    """All pairs ``(a, b)`` of members ``h, rep, c`` of one bucket that lie in several components."""
-    x, y = (left.select("h", F.col("rep").alias(r), F.col("c").alias(f"c{r}")) for r in "ab")
-    return x.join(y, "h").where("a < b and ca <> cb").select("a", "b").distinct()
+def _inside(left: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` of members ``h, rep, c`` of one bucket that lie in several components, but those that their marks rule out."""
+    marked = left.select("h", "rep", "c").join(marks, "rep")
+    x, y = (marked.select("h", *(F.col(c).alias(f"{c}{r}") for c in marked.columns if c != "h")) for r in "ab")
+    return x.join(y, "h").where("repa < repb and ca <> cb").where(_close(num, den)).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
 
 
 #: Bytes of a bucket's name.  Two buckets that share one by chance are a few more pairs to test, and no link more.
@@ -443,8 +455,9 @@ def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | N
     ``banded`` has rows of some nodes: ``reps``, the sizes of their sets ``ns`` (0 where not known), and ``bands``, their
     keys one after another.  ``sets_of(ids)`` gives ``rep, items`` for a frame of ``rep``, where ``items`` are a
     set, or a text that ``cut`` turns into one and ``alike`` compares; ``given`` are links ``(a, b)`` known
-    beforehand.  What the hubs leave apart in buckets of up to ``within`` members is compared pair by pair, which for short
-    items costs less than the filter.  The text that a group was copied from agrees with more of the group than the copies do with
+    beforehand.  With ``within``, sizes and parities of all sets are kept, and only pairs that these do not rule out are
+    compared in full; what the hubs leave apart in buckets of up to so many members is then compared pair by
+    pair, which for small sets costs less than the filter.  The text that a group was copied from agrees with more of the group than the copies do with
     each other, so one good hub joins most of a group, and what it has joined is compared no more.
     """
     spark = banded.sparkSession
@@ -456,6 +469,7 @@ def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | N
     members = _hubs(met)
     sets = common.stage(sets_of(members.select("rep").distinct()), "sets")
     common.discard(met)
+    marks = common.stage(_marks(sets, cut), "marks") if within else None
     pairs = members.where("p <> rep").where(_fits("n", "pn", num, den)).groupBy("rep", "p").agg(F.count("*").alias("w"))
     pairs = common.stage(pairs.select("rep", "p", "w", F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")), "pairs")
     tried: list[DataFrame] = []
@@ -468,9 +482,13 @@ def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | N
         tried.append(now)
         if now.isEmpty():
             return comps
-        found = common.stage(_verified(now, sets, num, den, alike), "links")
+        some = now
+        if marks is not None:
+            some = now.join(_named(marks, "a"), F.col("a") == F.col("repa")).join(_named(marks, "b"), F.col("b") == F.col("repb")).where(_close(num, den))
+            some = common.stage(some.select("a", "b"), "close")
+        found = common.stage(_verified(some, sets, num, den, alike), "links")
         out = comps if found.isEmpty() else common.joined_components(comps, found)
-        common.discard(found)
+        common.discard(found, *[some] * (some is not now))
         return out
 
     best = F.max_by("p", _order("w", "p")).alias("p")
@@ -487,14 +505,14 @@ def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | N
     open_ = others.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).where("x < y").select("h", "size")
     left = common.stage(others.join(open_, "h"), "left")
     if within:
-        comps = settle(_inside(left.where(F.col("size") <= within)), comps)
+        comps = settle(_inside(left.where(F.col("size") <= within), marks, num, den), comps)
     large = common.stage(left.where(F.col("size") > within).select("rep", "c").distinct(), "large")
     if not large.isEmpty():
         rest = _rest(large, sets, num, den, cut)
         comps = settle(rest, comps)
         common.discard(rest)
     common.discard(large)
-    common.discard(pairs, left, live, sets, members, *tried)
+    common.discard(pairs, left, live, sets, members, *tried, *[marks] * (marks is not None))
     return comps
 
 

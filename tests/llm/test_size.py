@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lexigrain.llm import common, near_dedup
+from lexigrain.llm import common, line_dedup, near_dedup
 
 
 def _banded(spark, pairs):
@@ -29,6 +29,19 @@ def test_small_buckets_are_compared_pair_by_pair_and_large_ones_by_the_filter(sp
     assert ask(64) == want
 
 
+def test_pairs_that_their_marks_rule_out_are_not_compared_in_full(spark, monkeypatch):
+    banded, sets = _banded(spark, 6)
+    full, seen = near_dedup._verified, []
+
+    def verified(pairs, *how):
+        seen.extend(map(tuple, pairs.collect()))
+        return full(pairs, *how)
+
+    monkeypatch.setattr(near_dedup, "_verified", verified)
+    assert near_dedup.connect(banded, lambda ids: sets.join(ids, "rep"), 80, 100, within=64).count() == 12
+    assert sorted(seen) == [(10 * p + 1, 10 * p + 2) for p in range(6)]
+
+
 def test_bucket_words_travel_as_their_differences():
     w = common.distinct(np.random.default_rng(0).integers(0, 1 << 52, 6000))
     assert (near_dedup._words(near_dedup._steps(w)) == w).all()
@@ -41,3 +54,15 @@ def test_bucket_words_travel_as_their_differences():
 def test_distinct_is_what_unique_says():
     x = np.random.default_rng(2).integers(0, 50, 200).astype(np.uint64)
     assert (common.distinct(x) == np.unique(x)).all() and len(common.distinct(x[:0])) == 0
+
+
+def test_line_stage_leaves_no_table_of_lines(spark, monkeypatch):
+    made, gone = [], []
+    stage, discard = common.stage, common.discard
+    monkeypatch.setattr(common, "stage", lambda df, name: made.append((name, t := stage(df, name))) or t)
+    monkeypatch.setattr(common, "discard", lambda *ts: gone.extend(t._lexigrain_path for t in ts) or discard(*ts))
+    text = "the quick brown fox jumps over the lazy dog near the old river bank"
+    docs = spark.createDataFrame([(1, text), (2, "x\n" + text + "!"), (3, text)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.lines) for r in line_dedup.removed(docs).collect()) == [(2, [1]), (3, [0])]
+    left = {name for name, t in made if t._lexigrain_path not in gone}
+    assert not left & {"lines", "classes", "repeated", "sets", "marks"}
