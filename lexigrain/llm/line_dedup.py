@@ -23,6 +23,7 @@ whatever their names; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +44,8 @@ def form(line: str) -> str:
 
 def _points(forms: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Characters of all lines one after another, each filled up to ``k``; which places begin a shingle; where lines' shingles begin."""
-    raw = [f.encode("utf-32-le", "surrogatepass") for f in forms]
-    size = np.fromiter((max(len(r) // 4, k) for r in raw), np.int64, len(raw))
-    points = np.frombuffer(b"".join(r.ljust(4 * k, b"\0") for r in raw), "<u4")
+    size = np.fromiter((max(len(f), k) for f in forms), np.int64, len(forms))
+    points = np.frombuffer("".join(f if len(f) >= k else f.ljust(k, "\0") for f in forms).encode("utf-32-le", "surrogatepass"), "<u4")
     keep = np.ones(len(points), bool)
     ends = np.cumsum(size)
     for j in range(1, k):
@@ -114,16 +114,17 @@ def _shingles(f: str, k: int) -> set[str]:
 
 
 def _lines(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """One row a text: ``doc_id, tkey``, and for its non-blank lines ``line, key, check``.
+    """One row a text: ``doc_id, tkey``, how many non-blank lines ``size``, and for these ``line, key, check`` as 64-bit numbers one after another.
 
-    Of classes that a task meets first here, the names (``reps``), forms and bucket keys follow.
+    Of classes that a task meets first here, the names (``reps``, likewise), forms (a line each) and bucket keys follow.
     """
 
     def run(batches):
         met: set[tuple[int, int]] = set()
         for b in batches:
-            out = {c: [] for c in ("line", "key", "check", "reps", "forms", "bands")}
+            out = {c: [] for c in ("size", "line", "key", "check", "reps", "forms", "bands")}
             fresh: list[str] = []
+            counts: list[int] = []
             for text in b["text"].to_pylist():
                 line, key, check, reps = [], [], [], []
                 # Lower case first: it makes or moves no line feed.
@@ -137,20 +138,21 @@ def _lines(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                         line.append(i)
                         key.append(name[0])
                         check.append(name[1])
+                out["size"].append(len(line))
+                counts.append(len(reps))
                 for c, v in (("line", line), ("key", key), ("check", check), ("reps", reps)):
-                    out[c].append(v)
+                    out[c].append(np.array(v, "<i8").tobytes())
             keys = near_dedup.packed(_keys(signatures(fresh, GRAM, bands * rows), bands, rows)) if fresh else []
             done = 0
-            for reps in out["reps"]:
-                to = done + len(reps)
-                out["forms"].append(fresh[done:to])
-                out["bands"].append(b"".join(keys[done:to]))
-                done = to
+            for n in counts:
+                out["forms"].append("\n".join(fresh[done : done + n]))
+                out["bands"].append(b"".join(keys[done : done + n]))
+                done += n
             if len(met) > 500_000:
                 met.clear()
             yield {"doc_id": b["doc_id"], "tkey": b["tkey"]} | out
 
-    schema = "doc_id bigint, tkey bigint, line array<int>, key array<bigint>, check array<bigint>, reps array<bigint>, forms array<string>, bands binary"
+    schema = "doc_id bigint, tkey bigint, size int, line binary, key binary, check binary, reps binary, forms string, bands binary"
     return common.in_arrow(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text"), run, schema)
 
 
@@ -160,9 +162,17 @@ def _forms(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            reps, forms = b["reps"].flatten(), b["forms"].flatten()
-            at = np.flatnonzero(sieve.passes(np.mod(reps.to_numpy(), 1 << common.SIEVE_LOG)))
-            yield {"rep": reps.take(at), "items": forms.take(at)}
+            raw = b["reps"].to_pylist()
+            reps = np.frombuffer(b"".join(raw), "<i8")
+            ok = sieve.passes(np.mod(reps, 1 << common.SIEVE_LOG))
+            ends = np.cumsum([len(r) // 8 for r in raw])
+            forms: list[str] = []
+            for i, (end, r) in enumerate(zip(ends.tolist(), raw)):
+                begin = end - len(r) // 8
+                if (on := np.flatnonzero(ok[begin:end])).size:
+                    each = b["forms"][i].as_py().split("\n")
+                    forms += [each[j] for j in on.tolist()]
+            yield {"rep": reps[ok], "items": forms}
 
     found = common.in_arrow(lines.select("reps", "forms"), run, "rep bigint, items string").join(ids, "rep", "left_semi")
     # Tasks may each have met a class; a 64-bit name that two forms share stands for one of them.
@@ -175,36 +185,42 @@ def _cut(forms: list[str], k: int) -> list[np.ndarray]:
     return [common.distinct(x) for x in np.split(hashes, starts[1:])]
 
 
-def _alike(k: int, num: int, den: int):
-    """Makes functions that tell of two lists of forms which pairs reach the similarity; they remember the sets of some forms."""
-
-    def make():
-        held: dict[str, set[str]] = {}
-
-        def shingles(f: str) -> set[str]:
-            if (s := held.get(f)) is None:
-                if len(held) >= 2000:
-                    held.clear()
-                s = _shingles(f, k)
-                if len(f) < 4000:
-                    held[f] = s
-            return s
-
-        def test(one: list[str], two: list[str]) -> list[bool]:
-            out = []
-            for x, y in zip(one, two):
-                a, b = shingles(x), shingles(y)
-                small, large = sorted((len(a), len(b)))
-                if small * den < num * large:
-                    out.append(False)
-                else:
-                    same = len(a & b)
-                    out.append(same * den >= num * (small + large - same))
-            return out
+def _exact(forms: list[str], k: int) -> list[np.ndarray | None]:
+    """The sorted sets of shingles of up to 4 characters, these as one number each; None for forms that numbers may not tell apart."""
+    points, keep, starts = _points(forms, k)
+    points = points.astype(np.uint64)
+    n = len(points) - k + 1
+    acc = np.zeros(n, np.uint64)
+    for j in range(k):
+        acc = acc << np.uint64(16) | points[j : n + j]
+    # Fillers of short forms are 0, and so are characters that a form may have.
+    odd = np.maximum.reduceat(np.where(points == 0, np.uint64(1 << 16), points), np.cumsum([0, *(max(len(f), k) for f in forms[:-1])])) >> np.uint64(16)
+    return [None if o else common.distinct(x) for o, x in zip(odd.tolist(), np.split(acc[keep[:n]], starts[1:]))]
 
-        return test
 
-    return make
+def _alike(k: int, num: int, den: int):
+    """Makes functions that tell of two lists of forms which pairs reach the similarity."""
+
+    def reach(a: int, b: int, same: int) -> bool:
+        return same * den >= num * (a + b - same)
+
+    def test(one: list[str], two: list[str]) -> list[bool]:
+        if not one:
+            return []
+        sets = _exact([*one, *two], k) if k <= 4 else [None] * (2 * len(one))
+        out = []
+        for x, y, a, b in zip(one, two, sets, sets[len(one) :]):
+            if a is None or b is None:
+                a, b = _shingles(x, k), _shingles(y, k)
+                out.append(reach(len(a), len(b), len(a & b)))
+            elif min(len(a), len(b)) * den < num * max(len(a), len(b)):
+                out.append(False)
+            else:
+                both = np.sort(np.concatenate([a, b]))
+                out.append(reach(len(a), len(b), int(np.count_nonzero(both[1:] == both[:-1]))))
+        return out
+
+    return lambda: test
 
 
 def line_classes(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, bands: int = 28, rows: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -213,24 +229,90 @@ def line_classes(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100, ban
     common.tune(docs.sparkSession)
     base = common.texts(docs).where("doc_id is not null")
     lines = common.stage(_lines(base, k, bands, rows), "lines")
-    banded = lines.where("size(reps) > 0").select("reps", F.transform("reps", lambda x: F.lit(0).cast("long")).alias("ns"), "bands")
+    banded = lines.where("length(reps) > 0").select("reps", "bands")
     comps = near_dedup.connect(banded, lambda ids: _forms(lines, ids), num, den, cut=lambda f: _cut(f, k), alike=_alike(k, num, den), within=WITHIN)
-    places = _places(lines).select("key", "check", F.struct("doc_id", "tkey", "line").alias("place"))
-    classes = places.groupBy("key", "check").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    found = classes.join(comps.select(F.col("id").alias("key"), "comp"), "key", "left").where("comp is not null or first <> last")
-    found = common.stage(found.select("key", "check", "comp", "first"), "repeated")
+    found = common.stage(_classes(lines, comps), "repeated")
     heads = found.where("comp is not null").groupBy("comp").agg(F.min("first").alias("head"))
     out = found.join(heads, "comp", "left").select("key", "check", F.coalesce("comp", "key").alias("component"), F.coalesce("head", "first").alias("first"))
     done = common.stage(out, "classes")
     common.discard(found, comps)
-    few = lines.select("doc_id", "tkey", "line", "key", "check")
+    few = lines.select("doc_id", "tkey", "size", "line", "key", "check")
     few._lexigrain_path = lines._lexigrain_path
     return few, done
 
 
-def _places(lines: DataFrame) -> DataFrame:
-    """``doc_id, tkey, line, key, check``: one row a line."""
-    return lines.select("doc_id", "tkey", F.explode(F.arrays_zip("line", "key", "check")).alias("x")).select("doc_id", "tkey", "x.line", "x.key", "x.check")
+def _numbers(b: dict) -> np.ndarray:
+    """``key, check, doc_id, tkey, line`` of all lines of a batch, a row of the table each."""
+    size = b["size"].to_numpy()
+    key, check, line = (near_dedup.longs(b[c]) for c in ("key", "check", "line"))
+    return np.stack([key, check, np.repeat(b["doc_id"].to_numpy(), size), np.repeat(b["tkey"].to_numpy(), size), line])
+
+
+def _by_class(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table in the order of classes and places; the first and the last row of each class."""
+    t = t[:, np.lexsort((t[4], t[3], t[2], t[1], t[0]))]
+    first = np.flatnonzero(common.changes(t[0], t[1]))
+    return t, first, np.append(first[1:], t.shape[1])[: len(first)] - 1
+
+
+def _classes(lines: DataFrame, comps: DataFrame) -> DataFrame:
+    """``key, check, comp, first`` of classes that are linked (``comp``, else null) or have several places; ``first`` is the first of these.
+
+    Each task hands on two places of a class at most, so a common line is no large group anywhere.
+    """
+    n = common.slots(lines.sparkSession)
+
+    def places(batches):
+        def ends():
+            held, size = [], 0
+            for b in batches:
+                held.append(_numbers(b))
+                size += held[-1].shape[1]
+                if size > 200_000:
+                    yield outer(np.concatenate(held, axis=1))
+                    held, size = [], 0
+            if size:
+                yield outer(np.concatenate(held, axis=1))
+
+        def outer(t):
+            t, first, last = _by_class(t)
+            return t[:, common.distinct(np.concatenate([first, last]))]
+
+        yield from common.deal(ends(), 0, n)
+
+    def classes(batches):
+        t, known = common.gathered(batches, 5, 2)
+        t, first, last = _by_class(t)
+        linked, at = common.looked_up(t[0][first], known)
+        several = (t[2:, first] != t[2:, last]).any(axis=0)
+        on = linked | several
+        key, check, doc, tkey, line = t[:, first[on]]
+        comp = pa.array(known[1][at[on]] if known.shape[1] else np.zeros(on.sum(), np.int64), mask=~linked[on])
+        yield {"key": key, "check": check, "comp": comp, "doc_id": doc, "tkey": tkey, "line": line.astype(np.int32)}
+
+    met = common.in_arrow(lines.select("doc_id", "tkey", "size", "line", "key", "check"), places, common.DEALT).union(near_dedup._by_id(comps, 1))
+    out = common.in_arrow(common.to_slots(met), classes, "key bigint, check bigint, comp bigint, doc_id bigint, tkey bigint, line int")
+    return out.select("key", "check", "comp", F.struct("doc_id", "tkey", "line").alias("first"))
+
+
+def _places(lines: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``doc_id, tkey, line, key, check``: one row a line; with ``of``, only lines of its classes, and few others."""
+    sieve = common.Sieve(of, common.key_slot("key")) if of is not None else None
+
+    def run(batches):
+        for b in batches:
+            t = _numbers(b)
+            if sieve is not None:
+                t = t[:, sieve.passes(np.mod(t[0], 1 << common.SIEVE_LOG))]
+            yield {"doc_id": t[2], "tkey": t[3], "line": t[4].astype(np.int32), "key": t[0], "check": t[1]}
+
+    return common.in_arrow(lines.select("doc_id", "tkey", "size", "line", "key", "check"), run, "doc_id bigint, tkey bigint, line int, key bigint, check bigint")
+
+
+def _gone(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """``doc_id, tkey, line`` of the lines to remove."""
+    met = _places(lines, classes).join(classes, ["key", "check"])
+    return met.where(F.struct("doc_id", "tkey", "line") != F.col("first")).select("doc_id", "tkey", "line")
 
 
 def repeated_lines(docs: DataFrame, **how) -> DataFrame:
@@ -243,9 +325,7 @@ def repeated_lines(docs: DataFrame, **how) -> DataFrame:
 def removed(docs: DataFrame, **how) -> DataFrame:
     """``doc_id, tkey, lines``: the numbers of the lines to remove, for texts that have any; a stage table, beside which nothing is kept."""
     lines, classes = line_classes(docs, **how)
-    places = _places(lines)
-    gone = places.join(classes, ["key", "check"]).where(F.struct("doc_id", "tkey", "line") != F.col("first"))
-    out = common.stage(gone.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed")
+    out = common.stage(_gone(lines, classes).groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed")
     common.discard(lines, classes)
     return out
 
@@ -268,9 +348,8 @@ def rewrite(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def summary(docs: DataFrame, **how) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed_lines`` of every document with a line; texts of one id are counted together."""
     lines, classes = line_classes(docs, **how)
-    places = _places(lines)
-    gone = places.join(classes, ["key", "check"]).where(F.struct("doc_id", "tkey", "line") != F.col("first")).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    sizes = lines.where("size(line) > 0").groupBy("doc_id", "tkey").agg(F.max(F.size("line")).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_lines"))
+    gone = _gone(lines, classes).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    sizes = lines.where("size > 0").groupBy("doc_id", "tkey").agg(F.max("size").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_lines"))
     none = F.array().cast("array<int>")
     out = sizes.join(gone, "doc_id", "left").withColumn("removed_lines", F.sort_array(F.coalesce("gone", none)))
     return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")

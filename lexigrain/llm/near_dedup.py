@@ -29,6 +29,7 @@ empty result.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,7 +192,7 @@ def _item_order(rows: DataFrame, cut) -> np.ndarray:
     parts = common.in_arrow(rows, count, "chunk bigint, slots array<bigint>, n array<bigint>, lo array<bigint>, hi array<bigint>")
     whole = common.in_arrow(parts.repartition(common.partitions(spark), "chunk"), merge, "chunk bigint, rank binary")
     order = np.zeros(1 << _ORDER_LOG, np.int32)
-    for r in whole.toLocalIterator():  # 64 rows of 64 KB
+    for r in whole.collect():  # 64 rows of 64 KB
         order[r.chunk << _CHUNK_LOG : (r.chunk + 1) << _CHUNK_LOG] = np.frombuffer(bytes(r.rank), "<i4")
     return order
 
@@ -252,13 +253,20 @@ def parities(t: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=64 * _WORDS) & 1).astype(np.uint8)).view("<i8")
 
 
+def all_parities(sets: list[np.ndarray]) -> np.ndarray:
+    """:func:`parities` of many sets, a row each."""
+    bits, size = 64 * _WORDS, np.array([len(t) for t in sets])
+    at = np.repeat(np.arange(len(sets)) * bits, size) + (common.mix64(np.concatenate(sets)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits * len(sets)) & 1).astype(np.uint8)).view("<i8").reshape(-1, _WORDS)
+
+
 def _marks(rows: DataFrame, cut) -> DataFrame:
     """``rep, m, b0, b1, ...``: size and parities of every set."""
 
     def run(batches):
         for b in batches:
             sets = _items(b, cut)
-            words = np.stack([parities(t) for t in sets])
+            words = all_parities(sets)
             yield {"rep": b["rep"], "m": [len(t) for t in sets]} | {f"b{i}": words[:, i] for i in range(_WORDS)}
 
     return common.in_arrow(rows, run, "rep bigint, m bigint, " + ", ".join(f"b{i} bigint" for i in range(_WORDS)))
@@ -287,9 +295,49 @@ def _fits(x: str, y: str, num: int, den: int) -> "F.Column":
 
 def _divided(members: DataFrame, comps: DataFrame) -> DataFrame:
     """``h, rep, n, c, lo, hi`` of buckets whose members beside their hub lie in several components, with two of these to be hubs."""
-    m = _placed(members.where("rep <> p").select("h", "rep", "n"), comps, "rep", "c")
-    ends = m.groupBy("h").agg(F.min(F.struct("c", "rep", "n")).alias("lo"), F.max(F.struct("c", "rep", "n")).alias("hi")).where("lo.c < hi.c")
-    return m.join(ends, "h")
+    n = common.slots(members.sparkSession)
+
+    def others(batches):
+        def tables():
+            for b in batches:
+                for raw in b["cells"].to_pylist():
+                    h, rep, size, p, _ = t = np.frombuffer(raw, "<i8").reshape(5, -1)
+                    t = t[:3, rep != p]
+                    new = common.changes(t[0])
+                    yield t[:, np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1] > 1]
+
+        yield from common.deal(tables(), 1, n)
+
+    def placed(batches):
+        t, known = common.gathered(batches, 3, 2)
+        ok, at = common.looked_up(t[1], known)
+        c = t[1].copy()
+        c[ok] = known[1][at[ok]]
+        yield from common.deal(iter([np.concatenate([t, c[None]])]), 0, n)
+
+    def ends(batches):
+        (t,) = common.gathered(batches, 4)
+        h, rep, size, c = t = t[:, np.lexsort((t[2], t[1], t[3], t[0]))]
+        new = common.changes(h)
+        first = np.flatnonzero(new)
+        of = np.cumsum(new) - 1
+        last = np.append(first[1:], len(h))[: len(first)] - 1
+        lo, hi = first[of], last[of]
+        on = c[lo] < c[hi]
+        named = {"h": h, "rep": rep, "n": size, "c": c, "lo_c": c[lo], "lo_rep": rep[lo], "lo_n": size[lo], "hi_c": c[hi], "hi_rep": rep[hi], "hi_n": size[hi]}
+        yield {k: v[on] for k, v in named.items()}
+
+    both = common.in_arrow(members, others, common.DEALT).union(_by_id(comps, 1))
+    met = common.in_arrow(common.to_slots(both), placed, common.DEALT)
+    out = common.in_arrow(common.to_slots(met), ends, ", ".join(f"{x} bigint" for x in ("h", "rep", "n", "c", "lo_c", "lo_rep", "lo_n", "hi_c", "hi_rep", "hi_n")))
+    of = lambda x: F.struct(*(F.col(f"{x}_{c}").alias(c) for c in ("c", "rep", "n"))).alias(x)
+    return out.select("h", "rep", "n", "c", of("lo"), of("hi"))
+
+
+def _by_id(comps: DataFrame, kind: int) -> DataFrame:
+    """Components, dealt by their nodes."""
+    n = common.slots(comps.sparkSession)
+    return common.in_arrow(comps.select("id", "comp"), lambda batches: common.deal((np.stack([b["id"].to_numpy(), b["comp"].to_numpy()]) for b in batches), 0, n, kind), common.DEALT)
 
 
 def _rest(left: DataFrame, sets: DataFrame, num: int, den: int, cut=None) -> DataFrame:
@@ -354,6 +402,13 @@ def _bands(b: dict) -> np.ndarray:
     return _wide(np.frombuffer(b"".join(b["bands"].to_pylist()), np.uint8).reshape(-1, _NAME))
 
 
+def longs(x: pa.Array) -> np.ndarray:
+    """The numbers of arrays, or of their bytes, one after another."""
+    if pa.types.is_list(x.type):
+        return x.flatten().to_numpy()
+    return np.frombuffer(b"".join(x.to_pylist()), "<i8")
+
+
 def _steps(words: np.ndarray) -> bytes:
     """Rising words of 56 bits as their differences, lowest bytes first: the high bytes hardly differ and take little when compressed."""
     return np.diff(words, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
@@ -383,7 +438,7 @@ def _shared(banded: DataFrame) -> DataFrame:
             return {"slot": full, "keys": [_steps(w[ends[i] : ends[i + 1]]) for i in full]}
 
         for b in batches:
-            h, reps = _bands(b), b["reps"].flatten().to_numpy()
+            h, reps = _bands(b), longs(b["reps"])
             of = np.repeat(reps, len(h) // max(len(reps), 1)).view(np.uint64)
             tell = common.mix64(of ^ h.view(np.uint64)) >> np.uint64(64 - _TELL)
             held.append(h << _TELL | tell.view(np.int64))
@@ -412,25 +467,57 @@ def _shared(banded: DataFrame) -> DataFrame:
 
 
 def _members(banded: DataFrame) -> DataFrame:
-    """``h, rep, n``: the members of buckets that may have several.
+    """The members of buckets of two or more: ``h, rep, n, p, pn``, with the bucket's hub and the size of its set, dealt by bucket.
 
     Most buckets have one member.  Keys move once, without their members, to find the others; those then pass a
-    sieve of fixed size, so that the rest never moves again.
+    sieve of fixed size, so that the rest never moves again.  A table of a slot has its buckets whole and in order.
     """
     shared = common.stage(_shared(banded), "shared")
-    sieve = common.Sieve(shared, common.key_slot("h"))
-
-    def run(batches):
-        for b in batches:
-            h, reps = _bands(b), b["reps"].flatten().to_numpy()
-            at = np.repeat(np.arange(len(reps)), len(h) // max(len(reps), 1))
-            ok = sieve.passes(np.mod(h, 1 << common.SIEVE_LOG))
-            yield {"h": h[ok], "rep": reps[at[ok]], "n": b["ns"].flatten().to_numpy()[at[ok]]}
-
-    few = common.in_arrow(banded, run, "h bigint, rep bigint, n bigint")
-    met = common.stage(few.join(shared, "h", "left_semi").distinct(), "met")
+    sieve, n = common.Sieve(shared, common.key_slot("h")), common.slots(banded.sparkSession)
     common.discard(shared)
-    return met
+
+    def few(batches):
+        def tables():
+            for b in batches:
+                h, reps = _bands(b), longs(b["reps"])
+                at = np.repeat(np.arange(len(reps)), len(h) // max(len(reps), 1))
+                ok = sieve.passes(np.mod(h, 1 << common.SIEVE_LOG))
+                sizes = longs(b["ns"])[at[ok]] if "ns" in b else np.zeros(ok.sum(), np.int64)
+                yield np.stack([h[ok], reps[at[ok]], sizes])
+
+        yield from common.deal(tables(), 0, n)
+
+    def sized(batches):
+        (t,) = common.gathered(batches, 3)
+        t = t[:, np.lexsort((t[1], t[0]))]
+        t = t[:, common.changes(t[0], t[1])]
+        new = common.changes(t[0])
+        size = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1]
+        yield from common.deal(iter([np.concatenate([t, size[None]])[:, size > 1]]), 1, n)
+
+    def tied(batches):
+        (t,) = common.gathered(batches, 4)
+        t = t[:, np.argsort(t[1], kind="stable")]
+        first = np.flatnonzero(common.changes(t[1]))
+        ties = np.add.reduceat(np.append(t[3], 0), first) if len(first) else t[3]
+        t[3] = np.repeat(ties, np.diff(np.append(first, t.shape[1])))
+        yield from common.deal(iter([t]), 0, n)
+
+    def hubs(batches):
+        (t,) = common.gathered(batches, 4)
+        h, rep, sizes, ties = t = t[:, np.lexsort((t[1], _mixed(t[1]), t[3], t[0]))]
+        new = common.changes(h)
+        hub = np.append(np.flatnonzero(new)[1:], len(h))[np.cumsum(new) - 1] - 1
+        yield from common.deal(iter([np.stack([h, rep, sizes, rep[hub], sizes[hub]])]), 0, n)
+
+    met = common.in_arrow(banded, few, common.DEALT)
+    for step in (sized, tied, hubs):
+        met = common.in_arrow(common.to_slots(met), step, common.DEALT)
+    return common.stage(met, "members")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return common.mix64(x.view(np.uint64))
 
 
 def _order(first: str, then: str) -> "F.Column":
@@ -438,15 +525,38 @@ def _order(first: str, then: str) -> "F.Column":
     return F.least(F.col(first), F.lit(1 << 37)) * F.lit(1 << 25) + F.pmod(F.xxhash64(then), F.lit(1 << 25))
 
 
-def _hubs(met: DataFrame) -> DataFrame:
-    """``h, rep, n, p, pn``: members of buckets of two or more, with the bucket's hub and the size of its set."""
-    sizes = met.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    met = common.stage(met.join(sizes, "h"), "sized")
-    ties = met.groupBy("rep").agg(F.sum("size").alias("ties"))
-    hubs = met.join(ties, "rep").groupBy("h").agg(F.max_by("rep", _order("ties", "rep")).alias("p"), F.max_by("n", _order("ties", "rep")).alias("pn"))
-    members = common.stage(met.join(hubs, "h").select("h", "rep", "n", "p", "pn"), "members")
-    common.discard(met)
-    return members
+def _hub_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """``rep, p, w, best``: every member with each hub that its size allows, the number of buckets that they share, and whether this is
+    the most; besides, with itself and 0, every member."""
+    n = common.slots(members.sparkSession)
+
+    def met(batches):
+        def tables():
+            for b in batches:
+                for raw in b["cells"].to_pylist():
+                    _, rep, size, p, hub = np.frombuffer(raw, "<i8").reshape(5, -1)
+                    fits = den * np.minimum(size, hub) >= num * np.maximum(size, hub)
+                    p = np.where(fits, p, rep)
+                    yield np.stack([rep, p, (p != rep).astype(np.int64)])
+                    yield np.stack([rep, rep, np.zeros(len(rep), np.int64)])
+
+        yield from common.deal(tables(), 0, n)
+
+    def best(batches):
+        (t,) = common.gathered(batches, 3)
+        t = t[:, np.lexsort((t[1], t[0]))]
+        first = np.flatnonzero(common.changes(t[0], t[1]))
+        w = np.add.reduceat(np.append(t[2], 0), first) if len(first) else t[2]
+        rep, p = t[:2, first]
+        by = np.lexsort((_mixed(p), w, rep))
+        rep, p, w = rep[by], p[by], w[by]
+        yield {"rep": rep, "p": p, "w": w, "best": (np.append(rep[1:] != rep[:-1], True)[: len(rep)]) & (rep != p)}
+
+    return common.in_arrow(common.to_slots(common.in_arrow(members, met, common.DEALT)), best, "rep bigint, p bigint, w bigint, best boolean")
+
+
+#: Pairs up to which only the sets that they name are moved, by a broadcast of their names.
+_FEW = 1 << 14
 
 
 def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | None = None, cut=None, alike=None, within: int = 0) -> DataFrame:
@@ -460,22 +570,22 @@ def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | N
     pair, which for small sets costs less than the filter.  The text that a group was copied from agrees with more of the group than the copies do with
     each other, so one good hub joins most of a group, and what it has joined is compared no more.
     """
-    spark = banded.sparkSession
-    met = _members(banded)
-    comps = common.components(given if given is not None else spark.range(0).selectExpr("id as a", "id as b"))
-    if met.isEmpty():
-        common.discard(met)
+    members = _members(banded)
+    links = [common.stage(given.select("a", "b"), "given")] if given is not None else []
+    count = sum(t.count() for t in links)
+    comps = common.components(links[0]) if links else common.stage(banded.sparkSession.range(0).selectExpr("id", "id as comp"), "components")
+    if members.isEmpty():
+        common.discard(members, *links)
         return comps
-    members = _hubs(met)
-    sets = common.stage(sets_of(members.select("rep").distinct()), "sets")
-    common.discard(met)
+    every = common.stage(_hub_pairs(members, num, den), "pairs")
+    sets = common.stage(sets_of(every.where("rep = p").select("rep")), "sets")
     marks = common.stage(_marks(sets, cut), "marks") if within else None
-    pairs = members.where("p <> rep").where(_fits("n", "pn", num, den)).groupBy("rep", "p").agg(F.count("*").alias("w"))
-    pairs = common.stage(pairs.select("rep", "p", "w", F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")), "pairs")
+    pairs = every.where("rep <> p").withColumns({"a": F.least("rep", "p"), "b": F.greatest("rep", "p")})
     tried: list[DataFrame] = []
 
     def settle(which: DataFrame, comps: DataFrame) -> DataFrame:
         """The components after the pairs ``(a, b)`` that have not been tried are tested."""
+        nonlocal count
         for t in tried:
             which = which.join(t, ["a", "b"], "left_anti")
         now = common.stage(which.select("a", "b").distinct(), "now")
@@ -486,14 +596,29 @@ def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | N
         if marks is not None:
             some = now.join(_named(marks, "a"), F.col("a") == F.col("repa")).join(_named(marks, "b"), F.col("b") == F.col("repb")).where(_close(num, den))
             some = common.stage(some.select("a", "b"), "close")
-        found = common.stage(_verified(some, sets, num, den, alike), "links")
-        out = comps if found.isEmpty() else common.joined_components(comps, found)
-        common.discard(found, *[some] * (some is not now))
+        # For few pairs the sets need not all move.
+        few = sets
+        if some.count() <= _FEW:
+            few = sets.join(F.broadcast(some.select(F.explode(F.array("a", "b")).alias("rep"))), "rep", "left_semi")
+        found = common.stage(_verified(some, few, num, den, alike), "links")
+        common.discard(*[some] * (some is not now))
+        more = found.count()
+        count += more
+        links.append(found)
+        if not more:
+            return comps
+        if count > common.SMALL_GRAPH:
+            return common.joined_components(comps, found)
+        of = links[0]
+        for t in links[1:]:
+            of = of.union(t)
+        out = common.small_components(of)
+        common.discard(comps)
         return out
 
     best = F.max_by("p", _order("w", "p")).alias("p")
     ends = F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")
-    comps = settle(pairs.groupBy("rep").agg(best).select(*ends), comps)
+    comps = settle(pairs.where("best").select("a", "b"), comps)
     apart = _placed(_placed(pairs, comps, "rep", "c"), comps, "p", "cp").where("c <> cp")
     comps = settle(apart.groupBy("rep", "cp").agg(best).select(*ends), comps)
     apart = _placed(_placed(pairs, comps, "rep", "c"), comps, "p", "cp").where("c <> cp")
@@ -512,7 +637,7 @@ def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | N
         comps = settle(rest, comps)
         common.discard(rest)
     common.discard(large)
-    common.discard(pairs, left, live, sets, members, *tried, *[marks] * (marks is not None))
+    common.discard(every, left, live, sets, members, *tried, *links, *[marks] * (marks is not None))
     return comps
 
 

@@ -1,6 +1,7 @@
 """What the text operators keep on disk, and that nothing is lost by it."""
 
 import numpy as np
+import pyarrow as pa
 
 from lexigrain.llm import common, line_dedup, near_dedup
 
@@ -66,3 +67,39 @@ def test_line_stage_leaves_no_table_of_lines(spark, monkeypatch):
     assert sorted((r.doc_id, r.lines) for r in line_dedup.removed(docs).collect()) == [(2, [1]), (3, [0])]
     left = {name for name, t in made if t._lexigrain_path not in gone}
     assert not left & {"lines", "classes", "repeated", "sets", "marks"}
+
+
+def test_small_graph_is_solved_in_one_task_as_by_rounds(spark):
+    rng = np.random.default_rng(5)
+    edges = common.stage(spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(-90, 90, (70, 2))] + [(i, i + 1) for i in range(1000, 1040)], "a bigint, b bigint"), "t")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("small", "small")
+    got = common.small_components(edges)
+    n = len(jobs.getJobIdsForGroup("small"))
+    spark.sparkContext.setJobGroup("", "")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, common.components(edges).collect()))
+    assert n == 1
+
+
+def test_shingle_numbers_decide_as_shingles_do():
+    forms = ["abc", "abc\0", "abcd", "the quick brown fox jumps over", "the quick brown fox jumps over!", "smile \U0001f600 and the world smiles", "smile \U0001f601 and the world smiles", "aaaaaaaa", "aaaa"]
+    pairs = [(x, y) for x in forms for y in forms]
+    test = line_dedup._alike(4, 80, 100)()
+    want = [len(a & b) * 100 >= 80 * len(a | b) for a, b in ((line_dedup._shingles(x, 4), line_dedup._shingles(y, 4)) for x, y in pairs)]
+    assert test([x for x, _ in pairs], [y for _, y in pairs]) == want
+
+
+def test_sieve_has_what_was_put_in(spark):
+    ids = spark.range(0, 3000).selectExpr("id * 7919 as x")
+    sieve = common.Sieve(ids, common.key_slot("x"))
+    x = np.arange(0, 3000) * 7919
+    assert sieve.passes(x).all() and not sieve.passes(x + 1).any() and sieve.passes(np.array([0]))[0]
+
+
+def test_rows_dealt_to_slots_come_back(spark):
+    t = np.arange(12).reshape(3, 4) - 5
+    rows = list(common.deal(iter([t]), 1, 5, 1))
+    empty, back = common.gathered(iter([{"kind": pa.array(r["kind"]), "cells": pa.array(r["cells"])} for r in rows]), 2, 3)
+    assert empty.shape == (2, 0) and sorted(map(tuple, back.T)) == sorted(map(tuple, t.T))
+    sets = [np.array([1, 2, 3], np.uint64), np.array([9], np.uint64)]
+    assert (near_dedup.all_parities(sets) == np.stack([near_dedup.parities(x) for x in sets])).all()
