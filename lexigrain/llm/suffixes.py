@@ -29,6 +29,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -185,8 +186,8 @@ def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), first, np.diff(np.append(first, total))
 
 
-def _group_repeats(rows: list[tuple[int, bytes, int]], length: int, named: bool) -> Iterator[dict]:
-    """For every fragment ``(key, bytes, smallest id)`` of whole key groups the maximal repeats in it.
+def _group_repeats(rows: list[tuple[int, bytes, int]], length: int, named: bool) -> dict:
+    """For every fragment ``(key, bytes, smallest id)`` of whole key groups the maximal repeats in it, as columns.
 
     ``starts, sizes``: where in the fragment; ``lows``: the smallest id that has the repeat; ``names``: hashes of the
     repeats' bytes.  Not ``named``, only those are given that tell which bytes an earlier document has: a repeat inside
@@ -232,10 +233,18 @@ def _group_repeats(rows: list[tuple[int, bytes, int]], length: int, named: bool)
         names = np.array([xxhash.xxh3_64_intdigest(raw[i : i + k]) - (1 << 63) for i, k in zip(at.tolist(), width.tolist())], np.int64)
     by = np.argsort(fragment[at], kind="stable")
     at, width, lows, names = at[by], width[by], lows[by], names[by] if named else None
-    cuts = np.searchsorted(fragment[at], np.arange(len(rows) + 1))
-    for i, (key, f, _) in enumerate(rows):
-        on = slice(cuts[i], cuts[i + 1])
-        yield {"key": key, "frag": f, "starts": at[on] - first[i], "sizes": width[on], "names": names[on] if named else [], "lows": lows[on], "least": int(lows[on].min())}
+    cuts = np.searchsorted(fragment[at], np.arange(len(rows) + 1)).astype(np.int32)
+    listed = lambda x, to=cuts: pa.ListArray.from_arrays(pa.array(to), pa.array(x))
+    starts = at - np.repeat(first, np.diff(cuts))
+    return {
+        "key": [k for k, _, _ in rows],
+        "frag": [f for _, f, _ in rows],
+        "starts": listed(starts.astype(np.int32)),
+        "sizes": listed(width.astype(np.int32)),
+        "names": listed(names) if named else listed(np.empty(0, np.int64), np.zeros(len(rows) + 1, np.int32)),
+        "lows": listed(lows),
+        "least": np.minimum.reduceat(lows, cuts[:-1]),
+    }
 
 
 def _repeats(docs: DataFrame, length: int, named: bool) -> tuple[DataFrame, DataFrame]:
@@ -321,22 +330,15 @@ def _repeats(docs: DataFrame, length: int, named: bool) -> tuple[DataFrame, Data
         held: list[tuple[int, bytes, int]] = []
         size = 0
 
-        def out(done):
-            got = {n: [] for n in ("key", "frag", "starts", "sizes", "names", "lows", "least")}
-            for r in _group_repeats(done, length, named):
-                for n, v in r.items():
-                    got[n].append(v)
-            return got
-
         for b in batches:
             for row in zip(b["key"].to_pylist(), b["frag"].to_pylist(), b["low"].to_pylist()):
                 if size > 60_000 and row[0] != held[-1][0]:
-                    yield out(held)
+                    yield _group_repeats(held, length, named)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[1])
         if held:
-            yield out(held)
+            yield _group_repeats(held, length, named)
 
     schema = "key bigint, frag binary, starts array<int>, sizes array<int>, names array<bigint>, lows array<bigint>, least bigint"
     solved = common.in_arrow(dealt, solve, schema).withColumn("fkey", F.xxhash64("frag")).drop("frag")
@@ -362,15 +364,7 @@ def duplicated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, Data
 
     def mark(batches):
         for b in batches:
-            spans = []
-            for doc_id, start, at, size, low in zip(b["doc_id"].to_pylist(), b["start"].to_pylist(), b["starts"], b["sizes"], b["lows"]):
-                on = low.values.to_numpy() < doc_id
-                begin = at.values.to_numpy()[on].astype(np.int64)
-                covered = np.zeros(int((begin + size.values.to_numpy()[on]).max(initial=0)) + 2, np.int32)
-                np.add.at(covered, begin + 1, 1)
-                np.add.at(covered, begin + 1 + size.values.to_numpy()[on], -1)
-                spans.append(np.flatnonzero(np.diff((np.cumsum(covered) > 0).astype(np.int8))) + start)
-            yield {"doc_id": b["doc_id"], "tkey": b["tkey"], "spans": spans}
+            yield {"doc_id": b["doc_id"], "tkey": b["tkey"], "spans": marked_spans(b)}
 
     known = found.where("least < doc_id").select("doc_id", "tkey", "start", "starts", "sizes", "lows")
     marked = common.in_arrow(known, mark, "doc_id bigint, tkey bigint, spans array<bigint>")
@@ -378,6 +372,28 @@ def duplicated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, Data
     return facts_of, common.stage(spans, "spans")
 
 
+def marked_spans(b: dict) -> pa.Array:
+    """Of every row the begins and ends of what its ``starts`` and ``sizes`` cover, by repeats whose ``lows`` are below its id."""
+    n = len(b["doc_id"])
+    row = np.repeat(np.arange(n), b["starts"].value_lengths().to_numpy())
+    doc_id, start = b["doc_id"].to_numpy(), b["start"].to_numpy()
+    on = b["lows"].flatten().to_numpy() < doc_id[row]
+    row, begin = row[on], b["starts"].flatten().to_numpy()[on].astype(np.int64)
+    end = begin + b["sizes"].flatten().to_numpy()[on]
+    by = np.lexsort((begin, row))
+    row, begin, end = row[by], begin[by], end[by]
+    # Rows one after another on one line, far enough apart not to touch; then a span begins where nothing before it reaches.
+    wide = int(end.max(initial=0)) + 2
+    reach = np.maximum.accumulate(end + row * wide) if len(row) else end
+    new = np.ones(len(row), bool)
+    new[1:] = (begin + row * wide)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row))[: len(first)] - 1
+    of = row[first]
+    ends = np.stack([begin[first] + start[of], reach[last] - of * wide + start[of]], 1).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], 2 * np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)), pa.array(ends))
+
+
 def _texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
     """Texts of the ids, and of few others, so that a join does not shuffle the rest."""
     sieve = common.Sieve(ids, common.sieve_slot("doc_id"))
