@@ -331,18 +331,23 @@ def removed(docs: DataFrame, **how) -> DataFrame:
 
 
 def rewrite(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents, all columns kept, without the lines of ``gone``; documents that lose their last line go."""
+    """The documents, all columns kept, without the lines of ``gone``; documents that lose their last line go.
+
+    Only texts that may lose lines move to meet these; the others stay where they are read.
+    """
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("old"))
-    both = named.join(gone.select(F.col("doc_id").alias("of"), F.col("tkey").alias("of_key"), "lines"), (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    may = common.sifted(common.Sieve(gone, common.key_slot("tkey")), common.key_slot("key"))
+    asked = gone.select(F.col("doc_id").alias("of"), F.col("tkey").alias("of_key"), "lines")
+    both = named.where(may).join(asked, (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
     # A map of line numbers makes the test for one line independent of how many lines go.
     held = F.map_from_arrays(F.col("lines"), F.transform("lines", lambda i: F.lit(True)))
     left = F.array_join(F.filter(F.split("old", "\n", -1), lambda x, i: ~F.coalesce(F.try_element_at(held, i), F.lit(False))), "\n")
     whole = F.col("lines").isNull()
     out = both.withColumn("new", F.when(~whole, left)).where(whole | (F.trim(F.regexp_replace("new", r"\s+", " ")) != ""))
     kept = [F.when(whole, F.col(f"row.c{i}")).otherwise(F.col("new")).alias(c) if c == "text" else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]
-    return out.select(*kept)
+    return out.select(*kept).union(named.where(~may).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns))))
 
 
 def summary(docs: DataFrame, **how) -> DataFrame:

@@ -1,7 +1,10 @@
 """What the text operators keep on disk, and that nothing is lost by it."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lexigrain.llm import common, line_dedup, near_dedup
 
@@ -69,6 +72,43 @@ def test_line_stage_leaves_no_table_of_lines(spark, monkeypatch):
     assert not left & {"lines", "classes", "repeated", "sets", "marks"}
 
 
+def test_rewriting_lines_moves_only_texts_that_lose_some(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of its own\nand more {i}") for i in range(2000)] + [(None, "text")], "doc_id bigint, text string")
+    gone = common.stage(docs.where("doc_id in (3, 5)").select("doc_id", F.xxhash64("text").alias("tkey"), F.array(F.lit(0)).alias("lines")), "t")
+    moved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = line_dedup.rewrite(docs, gone)
+        got = {r.doc_id: r.text for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", moved)
+    assert out.columns == docs.columns and len(got) == 2001 and got[None] == "text"
+    assert {i: t for i, t in got.items() if t is not None and "\n" not in t and i is not None} == {3: "and more 3", 5: "and more 5"}
+    rows = [int(x) for x in re.findall(r"shuffle records written: (\d+)", _metrics(plan))]
+    assert rows and max(rows) < 20
+
+
+def _metrics(node) -> str:
+    """``name: value`` of all nodes of a plan that has run."""
+    found, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        it = x.metrics().iterator()
+        while it.hasNext():
+            m = it.next()._2()
+            found.append(f"{m.name().get()}: {m.value()}")
+        kind = x.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(x.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(x.plan())
+        children = x.children().iterator()
+        while children.hasNext():
+            todo.append(children.next())
+    return "\n".join(found)
+
+
 def test_small_graph_is_solved_in_one_task_as_by_rounds(spark):
     rng = np.random.default_rng(5)
     edges = common.stage(spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(-90, 90, (70, 2))] + [(i, i + 1) for i in range(1000, 1040)], "a bigint, b bigint"), "t")
