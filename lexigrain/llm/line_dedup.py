@@ -39,7 +39,14 @@ _CHARS = 60_000
 
 
 def form(line: str) -> str:
-    return " ".join(line.lower().split())
+    return _spaced(line.lower())
+
+
+def _spaced(line: str) -> str:
+    # Of white space only a blank is printable, so most lines are found to be in this form without being taken apart.
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":
+        return line
+    return " ".join(line.split())
 
 
 def _points(forms: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +136,7 @@ def _lines(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 line, key, check, reps = [], [], [], []
                 # Lower case first: it makes or moves no line feed.
                 for i, raw in enumerate(text.lower().split("\n")):
-                    if f := " ".join(raw.split()):
+                    if f := _spaced(raw):
                         name = _key(f)
                         if name not in met:
                             met.add(name)
@@ -290,8 +297,8 @@ def _classes(lines: DataFrame, comps: DataFrame) -> DataFrame:
         comp = pa.array(known[1][at[on]] if known.shape[1] else np.zeros(on.sum(), np.int64), mask=~linked[on])
         yield {"key": key, "check": check, "comp": comp, "doc_id": doc, "tkey": tkey, "line": line.astype(np.int32)}
 
-    met = common.in_arrow(lines.select("doc_id", "tkey", "size", "line", "key", "check"), places, common.DEALT).union(near_dedup._by_id(comps, 1))
-    out = common.in_arrow(common.to_slots(met), classes, "key bigint, check bigint, comp bigint, doc_id bigint, tkey bigint, line int")
+    met = common.in_arrow(lines.select("doc_id", "tkey", "size", "line", "key", "check"), places, common.DEALT).union(near_dedup._by_id(comps, 1, n))
+    out = common.in_arrow(common.to_slots(met, n), classes, "key bigint, check bigint, comp bigint, doc_id bigint, tkey bigint, line int")
     return out.select("key", "check", "comp", F.struct("doc_id", "tkey", "line").alias("first"))
 
 

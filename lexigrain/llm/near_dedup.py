@@ -293,15 +293,14 @@ def _fits(x: str, y: str, num: int, den: int) -> "F.Column":
     return F.expr(f"{den} * least({x}, {y}) >= {num} * greatest({x}, {y})")
 
 
-def _divided(members: DataFrame, comps: DataFrame) -> DataFrame:
+def _divided(members: DataFrame, n: int, comps: DataFrame) -> DataFrame:
     """``h, rep, n, c, lo, hi`` of buckets whose members beside their hub lie in several components, with two of these to be hubs."""
-    n = common.slots(members.sparkSession)
 
     def others(batches):
         def tables():
             for b in batches:
                 for raw in b["cells"].to_pylist():
-                    h, rep, size, p, _ = t = np.frombuffer(raw, "<i8").reshape(5, -1)
+                    h, rep, size, p, _ = t = common.table(raw, 5)
                     t = t[:3, rep != p]
                     new = common.changes(t[0])
                     yield t[:, np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1] > 1]
@@ -327,16 +326,15 @@ def _divided(members: DataFrame, comps: DataFrame) -> DataFrame:
         named = {"h": h, "rep": rep, "n": size, "c": c, "lo_c": c[lo], "lo_rep": rep[lo], "lo_n": size[lo], "hi_c": c[hi], "hi_rep": rep[hi], "hi_n": size[hi]}
         yield {k: v[on] for k, v in named.items()}
 
-    both = common.in_arrow(members, others, common.DEALT).union(_by_id(comps, 1))
-    met = common.in_arrow(common.to_slots(both), placed, common.DEALT)
-    out = common.in_arrow(common.to_slots(met), ends, ", ".join(f"{x} bigint" for x in ("h", "rep", "n", "c", "lo_c", "lo_rep", "lo_n", "hi_c", "hi_rep", "hi_n")))
+    both = common.in_arrow(members, others, common.DEALT).union(_by_id(comps, 1, n))
+    met = common.in_arrow(common.to_slots(both, n), placed, common.DEALT)
+    out = common.in_arrow(common.to_slots(met, n), ends, ", ".join(f"{x} bigint" for x in ("h", "rep", "n", "c", "lo_c", "lo_rep", "lo_n", "hi_c", "hi_rep", "hi_n")))
     of = lambda x: F.struct(*(F.col(f"{x}_{c}").alias(c) for c in ("c", "rep", "n"))).alias(x)
     return out.select("h", "rep", "n", "c", of("lo"), of("hi"))
 
 
-def _by_id(comps: DataFrame, kind: int) -> DataFrame:
+def _by_id(comps: DataFrame, kind: int, n: int) -> DataFrame:
     """Components, dealt by their nodes."""
-    n = common.slots(comps.sparkSession)
     return common.in_arrow(comps.select("id", "comp"), lambda batches: common.deal((np.stack([b["id"].to_numpy(), b["comp"].to_numpy()]) for b in batches), 0, n, kind), common.DEALT)
 
 
@@ -419,7 +417,7 @@ def _words(raw: bytes) -> np.ndarray:
 
 
 def _shared(banded: DataFrame) -> DataFrame:
-    """``h``: the buckets that have several members.
+    """``h, m``: the buckets that have several members, and how many values the bits of these take.
 
     Keys travel as arrays, one for each slot and some batches, so that a row is a thousand keys and not one; a
     task then holds the distinct keys of its slots.  A word is a bucket and some bits of its member, so a member
@@ -458,22 +456,36 @@ def _shared(banded: DataFrame) -> DataFrame:
                 known = common.distinct(np.concatenate([known, *held]))
                 held, size = [], 0
         h = common.distinct(np.concatenate([known, *held])) >> _TELL
-        more = common.distinct(h[1:][h[1:] == h[:-1]])
-        for at in range(0, len(more), 100_000):
-            yield {"h": more[at : at + 100_000]}
+        first = np.flatnonzero(common.changes(h))
+        m = np.diff(np.append(first, len(h)))
+        h, m = h[first[m > 1]], m[m > 1]
+        for at in range(0, len(h), 100_000):
+            yield {"h": h[at : at + 100_000], "m": m[at : at + 100_000]}
 
     dealt = common.in_arrow(banded.select("reps", "bands"), deal, "slot bigint, keys binary").repartition(common.partitions(banded.sparkSession), "slot")
-    return common.in_arrow(dealt, several, "h bigint")
+    return common.in_arrow(dealt, several, "h bigint, m bigint")
 
 
-def _members(banded: DataFrame) -> DataFrame:
-    """The members of buckets of two or more: ``h, rep, n, p, pn``, with the bucket's hub and the size of its set, dealt by bucket.
+#: Members that a slot gets at least, on average: each task deals a row to every slot, so slots without work cost the more the more tasks there are.
+_DEALT = 1 << 12
+
+
+def _spread(shared: DataFrame) -> int:
+    """How many slots the members of these buckets are dealt to."""
+    most, full = common.slots(shared.sparkSession), 1 << _TELL
+    # So many members make m values likely; a bucket that has nearly all of them may have any number.
+    r = shared.agg(F.max("m").alias("top"), F.sum(F.log1p(-F.least("m", F.lit(full - 1)) / full) * -full).alias("n")).first()
+    return most if r.top and r.top > 0.95 * full else int(min(most, 1 + (r.n or 0) // _DEALT))
+
+
+def _members(banded: DataFrame) -> tuple[DataFrame, int]:
+    """The members of buckets of two or more: ``h, rep, n, p, pn``, with the bucket's hub and the size of its set, dealt by bucket; and to how many slots.
 
     Most buckets have one member.  Keys move once, without their members, to find the others; those then pass a
     sieve of fixed size, so that the rest never moves again.  A table of a slot has its buckets whole and in order.
     """
     shared = common.stage(_shared(banded), "shared")
-    sieve, n = common.Sieve(shared, common.key_slot("h")), common.slots(banded.sparkSession)
+    sieve, n = common.Sieve(shared, common.key_slot("h")), _spread(shared)
     common.discard(shared)
 
     def few(batches):
@@ -512,8 +524,8 @@ def _members(banded: DataFrame) -> DataFrame:
 
     met = common.in_arrow(banded, few, common.DEALT)
     for step in (sized, tied, hubs):
-        met = common.in_arrow(common.to_slots(met), step, common.DEALT)
-    return common.stage(met, "members")
+        met = common.in_arrow(common.to_slots(met, n), step, common.DEALT)
+    return common.stage(met, "members"), n
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -525,16 +537,15 @@ def _order(first: str, then: str) -> "F.Column":
     return F.least(F.col(first), F.lit(1 << 37)) * F.lit(1 << 25) + F.pmod(F.xxhash64(then), F.lit(1 << 25))
 
 
-def _hub_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+def _hub_pairs(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """``rep, p, w, best``: every member with each hub that its size allows, the number of buckets that they share, and whether this is
     the most; besides, with itself and 0, every member."""
-    n = common.slots(members.sparkSession)
 
     def met(batches):
         def tables():
             for b in batches:
                 for raw in b["cells"].to_pylist():
-                    _, rep, size, p, hub = np.frombuffer(raw, "<i8").reshape(5, -1)
+                    _, rep, size, p, hub = common.table(raw, 5)
                     fits = den * np.minimum(size, hub) >= num * np.maximum(size, hub)
                     p = np.where(fits, p, rep)
                     yield np.stack([rep, p, (p != rep).astype(np.int64)])
@@ -552,11 +563,21 @@ def _hub_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         rep, p, w = rep[by], p[by], w[by]
         yield {"rep": rep, "p": p, "w": w, "best": (np.append(rep[1:] != rep[:-1], True)[: len(rep)]) & (rep != p)}
 
-    return common.in_arrow(common.to_slots(common.in_arrow(members, met, common.DEALT)), best, "rep bigint, p bigint, w bigint, best boolean")
+    return common.in_arrow(common.to_slots(common.in_arrow(members, met, common.DEALT), n), best, "rep bigint, p bigint, w bigint, best boolean")
+
+
+#: Pairs up to which the names of their sets are broadcast (1 MB), for only these sets to move; the names of more go into a sieve.
+_FEW = 1 << 16
 
 
-#: Pairs up to which only the sets that they name are moved, by a broadcast of their names.
-_FEW = 1 << 14
+def _asked(rows: DataFrame, pairs: DataFrame, n: int, total: int) -> DataFrame:
+    """Of ``total`` rows those that ``n`` pairs name, and few others, so that the rest need not move; all, where the pairs may name most."""
+    if 2 * n > total:
+        return rows
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+    if n <= _FEW:
+        return rows.join(F.broadcast(ids), "rep", "left_semi")
+    return rows.where(common.sifted(common.Sieve(ids, common.sieve_slot("rep")), common.sieve_slot("rep")))
 
 
 def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | None = None, cut=None, alike=None, within: int = 0) -> DataFrame:
@@ -570,15 +591,16 @@ def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | N
     pair, which for small sets costs less than the filter.  The text that a group was copied from agrees with more of the group than the copies do with
     each other, so one good hub joins most of a group, and what it has joined is compared no more.
     """
-    members = _members(banded)
+    members, slots = _members(banded)
     links = [common.stage(given.select("a", "b"), "given")] if given is not None else []
     count = sum(t.count() for t in links)
     comps = common.components(links[0]) if links else common.stage(banded.sparkSession.range(0).selectExpr("id", "id as comp"), "components")
     if members.isEmpty():
         common.discard(members, *links)
         return comps
-    every = common.stage(_hub_pairs(members, num, den), "pairs")
+    every = common.stage(_hub_pairs(members, slots, num, den), "pairs")
     sets = common.stage(sets_of(every.where("rep = p").select("rep")), "sets")
+    total = sets.count()
     marks = common.stage(_marks(sets, cut), "marks") if within else None
     pairs = every.where("rep <> p").withColumns({"a": F.least("rep", "p"), "b": F.greatest("rep", "p")})
     tried: list[DataFrame] = []
@@ -590,17 +612,15 @@ def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | N
             which = which.join(t, ["a", "b"], "left_anti")
         now = common.stage(which.select("a", "b").distinct(), "now")
         tried.append(now)
-        if now.isEmpty():
+        some, n = now, now.count()
+        if not n:
             return comps
-        some = now
         if marks is not None:
-            some = now.join(_named(marks, "a"), F.col("a") == F.col("repa")).join(_named(marks, "b"), F.col("b") == F.col("repb")).where(_close(num, den))
+            few = _asked(marks, now, n, total)
+            some = now.join(_named(few, "a"), F.col("a") == F.col("repa")).join(_named(few, "b"), F.col("b") == F.col("repb")).where(_close(num, den))
             some = common.stage(some.select("a", "b"), "close")
-        # For few pairs the sets need not all move.
-        few = sets
-        if some.count() <= _FEW:
-            few = sets.join(F.broadcast(some.select(F.explode(F.array("a", "b")).alias("rep"))), "rep", "left_semi")
-        found = common.stage(_verified(some, few, num, den, alike), "links")
+            n = some.count()
+        found = common.stage(_verified(some, _asked(sets, some, n, total), num, den, alike), "links")
         common.discard(*[some] * (some is not now))
         more = found.count()
         count += more
@@ -622,7 +642,7 @@ def connect(banded: DataFrame, sets_of, num: int, den: int, given: DataFrame | N
     apart = _placed(_placed(pairs, comps, "rep", "c"), comps, "p", "cp").where("c <> cp")
     comps = settle(apart.groupBy("rep", "cp").agg(best).select(*ends), comps)
     apart = _placed(_placed(pairs, comps, "rep", "c"), comps, "p", "cp").where("c <> cp")
-    live = common.stage(_divided(members, comps), "live")
+    live = common.stage(_divided(members, slots, comps), "live")
     rivals = live.select("rep", "n", "c", F.explode(F.array("lo", "hi")).alias("e")).where("c <> e.c").where(_fits("n", "e.n", num, den))
     comps = settle(apart.select("a", "b").union(rivals.select(F.least("rep", "e.rep"), F.greatest("rep", "e.rep"))), comps)
     # Every pair with a bucket's three hubs is known; what is left of it goes on if it still lies apart.

@@ -143,3 +143,36 @@ def test_rows_dealt_to_slots_come_back(spark):
     assert empty.shape == (2, 0) and sorted(map(tuple, back.T)) == sorted(map(tuple, t.T))
     sets = [np.array([1, 2, 3], np.uint64), np.array([9], np.uint64)]
     assert (near_dedup.all_parities(sets) == np.stack([near_dedup.parities(x) for x in sets])).all()
+
+
+def test_rows_dealt_follow_the_members_and_not_the_square_of_the_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    reps = [int(x) for x in rng.integers(-(2**62), 2**62, 600)]
+    keys = rng.integers(0, 2**63, (600, 3), dtype=np.uint64)
+    keys[:, 0] = keys[np.arange(600) // 3 * 3, 0]
+    names = near_dedup.packed(keys)
+    banded = spark.createDataFrame([([r], b) for r, b in zip(reps, names)], "reps array<bigint>, bands binary")
+    monkeypatch.setattr(common, "partitions", lambda _: 150)
+    members, n = near_dedup._members(banded)
+    rows = members.collect()
+    t = np.concatenate([common.table(r.cells, 5) for r in rows], axis=1)
+    assert len(rows) <= n < 10 and sorted(t[1].tolist()) == sorted(reps)
+    # A bucket whose size the bits do not tell takes all slots.
+    assert near_dedup._spread(spark.createDataFrame([(1, 4090)], "h bigint, m bigint")) == 600
+    assert near_dedup._spread(spark.createDataFrame([(i, 3000) for i in range(20)], "h bigint, m bigint")) == 1 + int(-20 * 4096 * np.log1p(-3000 / 4096)) // 4096
+
+
+def test_only_sets_that_pairs_name_are_moved(spark, monkeypatch):
+    sets = spark.range(2000).selectExpr("id as rep", "'x' as items")
+    pairs = spark.createDataFrame([(3, 5), (7, 5)], "a bigint, b bigint")
+    for few in (0, 1 << 16):
+        monkeypatch.setattr(near_dedup, "_FEW", few)
+        got = {r.rep for r in near_dedup._asked(sets, pairs, 2, 2000).collect()}
+        assert {3, 5, 7} <= got and len(got) < 20
+    assert near_dedup._asked(sets, pairs, 1500, 2000) is sets
+
+
+def test_lines_that_are_spaced_already_keep_their_form():
+    lines = ["", " ", "a b", "a  b", " a", "a ", "a\tb", "a\xa0b", "a b", "a\x1cb", "a\x85b", "　", "a​b", "a\rb", "a b", "é \U0001f600", "\ud800 x"]
+    lines += [f"x{chr(c)}y" for c in range(0x3100)]
+    assert [line_dedup.form(x) for x in lines] == [" ".join(x.lower().split()) for x in lines]
