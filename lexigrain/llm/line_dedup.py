@@ -340,21 +340,45 @@ def removed(docs: DataFrame, **how) -> DataFrame:
 def rewrite(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents, all columns kept, without the lines of ``gone``; documents that lose their last line go.
 
-    Only texts that may lose lines move to meet these; the others stay where they are read.
+    Only texts that may lose lines move to meet these, once and compressed; the others stay where they are read.
     """
-    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row")
+    cells = {c: F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("old"))
-    may = common.sifted(common.Sieve(gone, common.key_slot("tkey")), common.key_slot("key"))
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"), *cells.values())
+    sieve = common.Sieve(gone, common.key_slot("tkey"))
     asked = gone.select(F.col("doc_id").alias("of"), F.col("tkey").alias("of_key"), "lines")
-    both = named.where(may).join(asked, (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
-    # A map of line numbers makes the test for one line independent of how many lines go.
-    held = F.map_from_arrays(F.col("lines"), F.transform("lines", lambda i: F.lit(True)))
-    left = F.array_join(F.filter(F.split("old", "\n", -1), lambda x, i: ~F.coalesce(F.try_element_at(held, i), F.lit(False))), "\n")
-    whole = F.col("lines").isNull()
-    out = both.withColumn("new", F.when(~whole, left)).where(whole | (F.trim(F.regexp_replace("new", r"\s+", " ")) != ""))
-    kept = [F.when(whole, F.col(f"row.c{i}")).otherwise(F.col("new")).alias(c) if c == "text" else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]
-    return out.select(*kept).union(named.where(~may).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns))))
+    at = f"c{docs.columns.index('text')}"
+    # One function sifts and packs, as each would take a Python worker of its own; for the same reason Spark must not copy them into the filters.
+    packed = F.arrow_udf(lambda slots, texts: _packed(sieve.passes(slots.to_numpy(zero_copy_only=False)), texts), "binary").asNondeterministic()
+    moved = named.withColumn(at, packed(common.key_slot("key"), F.col(at).cast("string"))).where(F.col(at).isNotNull())
+    both = moved.join(asked, (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    out = both.withColumn(at, F.arrow_udf(_without, "string").asNondeterministic()(at, "lines")).where(F.col("lines").isNull() | F.col(at).isNotNull())
+    may = common.sifted(sieve, common.key_slot("key"))
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return out.select(*kept).union(named.where(~may).select(*kept))
+
+
+def _packed(chosen: np.ndarray, texts: pa.Array) -> pa.Array:
+    """The chosen texts compressed, each after its length in bytes; no bytes for a null text, null for one that was not chosen."""
+    codec, out = pa.Codec("zstd", 3), [None] * len(texts)
+    at = np.flatnonzero(chosen)
+    for i, t in zip(at.tolist(), texts.take(pa.array(at)).to_pylist()):
+        raw = b"" if t is None else t.encode("utf-8", "surrogatepass")
+        out[i] = b"" if t is None else len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True)
+    return pa.array(out, pa.binary())
+
+
+def _without(packed: pa.Array, lines: pa.Array) -> pa.Array:
+    """The texts without these lines; null where no line but blank ones is left of a text that loses any."""
+    codec, out = pa.Codec("zstd", 3), []
+    for raw, gone in zip(packed.to_pylist(), lines.to_pylist()):
+        text = None if not raw else codec.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True).decode("utf-8", "surrogatepass")
+        if gone is not None:
+            gone = set(gone)
+            text = "\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in gone)
+            text = text if text.strip(" \t\n\x0b\f\r") else None
+        out.append(text)
+    return pa.array(out, pa.string())
 
 
 def summary(docs: DataFrame, **how) -> DataFrame:

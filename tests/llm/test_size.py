@@ -172,6 +172,25 @@ def test_only_sets_that_pairs_name_are_moved(spark, monkeypatch):
     assert near_dedup._asked(sets, pairs, 1500, 2000) is sets
 
 
+def test_rewritten_text_moves_once_and_compressed(spark):
+    docs = spark.createDataFrame([(i, f"gone\nline {i}" + f"\nsome words {i} and more" * 900) for i in range(200)] + [(900, "gone\n \t"), (901, "\u00e9\ngone\n\n"), (902, None)], "doc_id bigint, text string")
+    lost = F.when(F.col("doc_id") == 901, F.array(F.lit(1))).otherwise(F.array(F.lit(0)))
+    kept = line_dedup._packed(np.array([True, True, False]), pa.array(["", None, "x"]))
+    assert line_dedup._without(kept, pa.array([None, None, None], pa.list_(pa.int32()))).to_pylist() == ["", None, None] and kept[2].as_py() is None
+    gone = common.stage(docs.where("doc_id <> 902").select("doc_id", F.xxhash64("text").alias("tkey"), lost.alias("lines")), "t")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = line_dedup.rewrite(docs, gone)
+        got = {r.doc_id: r.text for r in out.collect()}
+        sizes = [int(x) for x in re.findall(r"data size: (\d+)", _metrics(out._jdf.queryExecution().executedPlan()))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == {r.doc_id: r.text.removeprefix("gone\n") for r in docs.where("doc_id < 900").collect()} | {901: "\u00e9\n\n", 902: None}
+    # 200 texts of over 20,000 characters.
+    assert sizes and sum(sizes) < 400_000
+
+
 def test_lines_that_are_spaced_already_keep_their_form():
     lines = ["", " ", "a b", "a  b", " a", "a ", "a\tb", "a\xa0b", "a b", "a\x1cb", "a\x85b", "　", "a​b", "a\rb", "a b", "é \U0001f600", "\ud800 x"]
     lines += [f"x{chr(c)}y" for c in range(0x3100)]
