@@ -351,7 +351,8 @@ def rewrite(docs: DataFrame, gone: DataFrame) -> DataFrame:
     # One function sifts and packs, as each would take a Python worker of its own; for the same reason Spark must not copy them into the filters.
     packed = F.arrow_udf(lambda slots, texts: _packed(sieve.passes(slots.to_numpy(zero_copy_only=False)), texts), "binary").asNondeterministic()
     moved = named.withColumn(at, packed(common.key_slot("key"), F.col(at).cast("string"))).where(F.col(at).isNotNull())
-    both = moved.join(asked, (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    # Dealt out before the join, even where that is a broadcast: else one task would run both functions, in two workers.
+    both = moved.repartition("id", "key").join(asked, (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
     out = both.withColumn(at, F.arrow_udf(_without, "string").asNondeterministic()(at, "lines")).where(F.col("lines").isNull() | F.col(at).isNotNull())
     may = common.sifted(sieve, common.key_slot("key"))
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]

@@ -187,6 +187,8 @@ def test_rewritten_text_moves_once_and_compressed(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert got == {r.doc_id: r.text.removeprefix("gone\n") for r in docs.where("doc_id < 900").collect()} | {901: "\u00e9\n\n", 902: None}
+    plan = line_dedup.rewrite(docs, gone)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and re.search(r"_without.*REPARTITION_BY_COL.*<lambda>", plan, re.S)
     # 200 texts of over 20,000 characters.
     assert sizes and sum(sizes) < 400_000
 
